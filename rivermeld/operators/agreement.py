@@ -123,8 +123,8 @@ def share_weighted_f1(metrics: DataFrame, matrix: DataFrame) -> DataFrame:
     shares = matrix.agg(*[
         (F.count_if(F.col("wfd_status") == c) / F.count("wfd_status")).alias(f"share_{c.lower()}")
         for c in ("Moderate", "Poor")])
-    one = metrics.select("mod_f1", "poor_f1").limit(1)
-    return one.join(F.broadcast(shares)).select(
+    one = metrics.select(F.lit(1).alias("row"), "mod_f1", "poor_f1").limit(1)
+    return one.join(shares.withColumn("row", F.lit(1)), "row").select(
         (F.col("mod_f1") * F.col("share_moderate") + F.col("poor_f1") * F.col("share_poor")).alias("baseline_f1"))
 
 

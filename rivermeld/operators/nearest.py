@@ -9,6 +9,7 @@ picks the minimum inside that row: no pair rows, no shuffle per point when the i
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from rivermeld.session import BROADCAST_ROWS, written
 LIST_TARGET = 64
 MAX_DEPTH = 10
 SALTS = 16
+ANY_DISTANCE = 1e12
 
 
 def _cell(value: Column, size: Column | float) -> Column:
@@ -78,7 +80,7 @@ def _far_pairs(spots: DataFrame, occupied: DataFrame, size: float, levels: int)
     for level in range(levels - 1, -1, -1):
         ancestors = occupied.select(F.expr(f"shiftright(cx, {level})").alias("cx"),
                                     F.expr(f"shiftright(cy, {level})").alias("cy")).distinct()
-        pairs = _quarter(pairs, size * 2 ** level, 1e12).join(ancestors, ["cx", "cy"], "left_semi")
+        pairs = _quarter(pairs, size * 2 ** level, ANY_DISTANCE).join(ancestors, ["cx", "cy"], "left_semi")
         pairs = written(pairs, "place-pairs")
     return pairs
 
@@ -156,6 +158,58 @@ def _look_up(points: DataFrame, lists: DataFrame, depth: int, size: float, reach
     )
 
 
+@dataclass(frozen=True)
+class PlaceIndex:
+    """A written index of places, good for every batch of points; distances up to `reach` are exact."""
+
+    spots: DataFrame
+    lists: DataFrame
+    depth: int
+    reach: float
+    place_id: str
+    carry: tuple[str, ...]
+    origin: tuple[float, float]
+    row_limit: int
+
+    def attach(self, points: DataFrame, xy: tuple[str, str] = ("easting", "northing"),
+               distance: str = "dist_m") -> DataFrame:
+        """Left-join points to their nearest place within reach."""
+        work = _look_up(self._started(points, xy), self.lists, self.depth, self.reach, self.reach, self.row_limit)
+        return self._finished(work, points, distance)
+
+    def _started(self, points: DataFrame, xy: tuple[str, str]) -> DataFrame:
+        east, north = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
+        place_type = self.spots.schema["place"].dataType.simpleString()
+        return points.withColumns({
+            "px": east - self.origin[0],
+            "py": north - self.origin[1],
+            "usable": east.isNotNull() & north.isNotNull() & ~F.isnan(east) & ~F.isnan(north),
+            "best": F.lit(None).cast(f"struct<d2:double,place:{place_type}>"),
+        })
+
+    def _finished(self, work: DataFrame, points: DataFrame, distance: str) -> DataFrame:
+        return work.select(
+            *[F.col(c) for c in points.columns],
+            F.col(f"best.place.{self.place_id}").alias(self.place_id),
+            *[F.col(f"best.place.{c}").alias(c) for c in self.carry],
+            F.sqrt("best.d2").alias(distance),
+        )
+
+
+def index_places(places: DataFrame, place_id: str, carry: list[str] | None = None, reach: float = 5000.0,
+                 xy: tuple[str, str] = ("easting", "northing"), origin: tuple[float, float] = (0.0, 0.0),
+                 list_target: int = LIST_TARGET, broadcast_rows: int = BROADCAST_ROWS) -> PlaceIndex:
+    """Index places once; places at one position collapse to the smallest id."""
+    carry = carry or []
+    east, north = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
+    spots = places.where(east.isNotNull() & north.isNotNull()).select(
+        (east - origin[0]).alias("e"), (north - origin[1]).alias("n"), F.struct(place_id, *carry).alias("place"))
+    spots = written(spots.groupBy("e", "n").agg(F.min("place").alias("place")), "places")
+    lists, depth = _candidate_lists(_near_pairs(spots, reach), reach, reach, list_target)
+    return PlaceIndex(spots, lists, depth, reach, place_id, tuple(carry), origin,
+                      max(broadcast_rows // list_target, 1))
+
+
 def nearest_join(
     points: DataFrame,
     places: DataFrame,
@@ -165,7 +219,6 @@ def nearest_join(
     max_dist: float | None = None,
     first_reach: float = 5000.0,
     xy: tuple[str, str] = ("easting", "northing"),
-    place_xy: tuple[str, str] = ("easting", "northing"),
     distance: str = "dist_m",
     list_target: int = LIST_TARGET,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -175,50 +228,31 @@ def nearest_join(
     With `max_dist` the join is bounded and others get nulls. Without it a second look-up serves the
     points that have no place within `first_reach`, at any distance.
     """
-    carry = carry or []
+    if max_dist is not None:
+        index = index_places(places, place_id, carry, float(max_dist), list_target=list_target,
+                             broadcast_rows=broadcast_rows)
+        return index.attach(points, xy, distance)
     # Coordinates are taken relative to a corner below both sides, so one cell can cover everything.
-    east, north = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
-    listed = places.where(F.col(place_xy[0]).isNotNull() & F.col(place_xy[1]).isNotNull()).select(
-        F.col(place_xy[0]).cast("double").alias("e"),
-        F.col(place_xy[1]).cast("double").alias("n"),
-        F.struct(place_id, *carry).alias("place"),
-    )
-    low_e = low_n = 0.0
-    levels = 0
-    reach = float(first_reach if max_dist is None else max_dist)
-    if max_dist is None:
-        box = points.select(east.alias("e"), north.alias("n")).unionByName(listed.select("e", "n")).agg(
-            F.min("e"), F.min("n"), F.max("e"), F.max("n")).first()
-        if box[0] is not None:
-            low_e, low_n = math.floor(box[0]), math.floor(box[1])
-            span = max(box[2] - low_e, box[3] - low_n) + 1.0
-            levels = max(math.ceil(math.log2(span / reach)), 0)
-    spots = listed.select((F.col("e") - low_e).alias("e"), (F.col("n") - low_n).alias("n"), "place")
-    spots = written(spots.groupBy("e", "n").agg(F.min("place").alias("place")), "places")
-    place_type = spots.schema["place"].dataType.simpleString()
-    work = points.withColumns({
-        "px": east - low_e,
-        "py": north - low_n,
-        "usable": east.isNotNull() & north.isNotNull() & ~F.isnan(east) & ~F.isnan(north),
-        "best": F.lit(None).cast(f"struct<d2:double,place:{place_type}>"),
-    })
-    row_limit = max(broadcast_rows // list_target, 1)
-    lists, depth = _candidate_lists(_near_pairs(spots, reach), reach, reach, list_target)
-    work = _look_up(work, lists, depth, reach, reach, row_limit)
-    if max_dist is None:
-        left_over = work.where(F.col("best").isNull() & F.col("usable"))
-        occupied = written(left_over.select(_cell(F.col("px"), reach).alias("cx"),
-                                            _cell(F.col("py"), reach).alias("cy")).distinct(), "cells")
-        if not occupied.isEmpty():
-            far = _far_pairs(spots, occupied, reach, levels)
-            lists, depth = _candidate_lists(far, reach, 1e12, list_target)
-            work = _look_up(work, lists, depth, reach, 1e12, row_limit)
-    return work.select(
-        *[F.col(c) for c in points.columns],
-        F.col(f"best.place.{place_id}").alias(place_id),
-        *[F.col(f"best.place.{c}").alias(c) for c in carry],
-        F.sqrt("best.d2").alias(distance),
-    )
+    sides = [df.select(F.col(x).cast("double").alias("e"), F.col(y).cast("double").alias("n"))
+             for df, (x, y) in ((points, xy), (places, ("easting", "northing")))]
+    box = sides[0].unionByName(sides[1]).where(~F.isnan("e") & ~F.isnan("n")).agg(
+        F.min("e"), F.min("n"), F.max("e"), F.max("n")).first()
+    origin, levels = (0.0, 0.0), 0
+    if box[0] is not None:
+        origin = (math.floor(box[0]), math.floor(box[1]))
+        span = max(box[2] - origin[0], box[3] - origin[1]) + 1.0
+        levels = max(math.ceil(math.log2(span / first_reach)), 0)
+    index = index_places(places, place_id, carry, float(first_reach), origin=origin, list_target=list_target,
+                         broadcast_rows=broadcast_rows)
+    work = _look_up(index._started(points, xy), index.lists, index.depth, index.reach, index.reach, index.row_limit)
+    left_over = work.where(F.col("best").isNull() & F.col("usable"))
+    occupied = written(left_over.select(_cell(F.col("px"), index.reach).alias("cx"),
+                                        _cell(F.col("py"), index.reach).alias("cy")).distinct(), "cells")
+    if not occupied.isEmpty():
+        far = _far_pairs(index.spots, occupied, index.reach, levels)
+        lists, depth = _candidate_lists(far, index.reach, ANY_DISTANCE, list_target)
+        work = _look_up(work, lists, depth, index.reach, ANY_DISTANCE, index.row_limit)
+    return index._finished(work, points, distance)
 
 
 def nearest_by_degrees(points: DataFrame, lat: float, lon: float, key: str) -> DataFrame:

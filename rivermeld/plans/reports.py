@@ -110,10 +110,14 @@ def location_change(matrix: DataFrame) -> DataFrame:
 
 
 def metrics_summary(metrics: DataFrame) -> DataFrame:
-    """Folds and mean, least and most F1 per approach, model and feature set."""
+    """Folds and mean, least and most F1 per approach, model and feature set.
+
+    The mean is taken over decimals, so its last place does not depend on the order of partial sums.
+    """
+    exact = F.col("weighted_f1").cast("decimal(18,12)")
     return metrics.groupBy("approach", "model_type", "feature_set").agg(
         F.count("*").alias("n_folds"),
-        F.round(F.avg("weighted_f1"), 4).alias("mean_f1"),
+        F.round(F.avg(exact), 4).cast("double").alias("mean_f1"),
         F.round(F.min("weighted_f1"), 4).alias("min_f1"),
         F.round(F.max("weighted_f1"), 4).alias("max_f1"),
     ).orderBy(F.desc("mean_f1"))
