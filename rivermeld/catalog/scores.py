@@ -1 +1,398 @@
-"""placeholder"""
+"""Queries for evaluation, models and explanations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rivermeld.catalog.joins import full_matrix, matched_readings
+from rivermeld.catalog.measures import VECTOR_LONG, vector_long
+from rivermeld.catalog.registry import Inputs, query
+from rivermeld.catalog.sqltext import AS_OF, MATCHED, RIVERS, ctes
+from rivermeld.functions.rates import kappa_strength
+from rivermeld.operators import agreement, explain, learning, stats, treeshap
+from rivermeld.operators.oversample import oversample
+from rivermeld.plans import training
+from rivermeld.session import new_folder, written
+from rivermeld.settings import FEATURES
+from rivermeld.sources.models import ModelStore
+from rivermeld.sources.store import Warehouse
+
+RATINGS = """pairs AS (SELECT fww_id, fww_rating AS a, wfd_status AS b FROM matched
+  WHERE fww_rating <> 'No water available' AND match_q <> 'poor')"""
+RATED = ctes(["readings", "waterbodies"], RIVERS, MATCHED, RATINGS)
+CLASSES = ["Good", "Moderate", "Poor"]
+
+
+def rating_pairs(t: Inputs) -> DataFrame:
+    near = matched_readings(t).where("match_q <> 'poor' AND fww_rating <> 'No water available'")
+    return near.select("fww_id", F.col("fww_rating").alias("a"), F.col("wfd_status").alias("b"))
+
+
+SCORES_SQL = """counts AS (SELECT label, SUM(support) AS support, SUM(claimed) AS claimed, SUM(hits) AS hits FROM (
+    SELECT a AS label, 1 AS support, 0 AS claimed, CASE WHEN a = b THEN 1 ELSE 0 END AS hits FROM pairs
+    UNION ALL SELECT b, 0, 1, 0 FROM pairs) GROUP BY label),
+scores AS (SELECT label, CAST(support AS BIGINT) AS support, CAST(claimed AS BIGINT) AS claimed,
+    CAST(hits AS BIGINT) AS hits, COALESCE(hits / CAST(NULLIF(claimed, 0) AS DOUBLE), 0) AS precision,
+    COALESCE(hits / CAST(NULLIF(support, 0) AS DOUBLE), 0) AS recall,
+    COALESCE(2 * hits / CAST(NULLIF(support + claimed, 0) AS DOUBLE), 0) AS f1 FROM counts)"""
+
+
+@query("e2_class_scores", RATED + f",\n{SCORES_SQL}\nSELECT * FROM scores")
+def class_scores(t: Inputs) -> DataFrame:
+    return agreement.class_scores(agreement.confusion(rating_pairs(t), "a", "b"))
+
+
+@query("e1_weighted_f1", RATED + f",\n{SCORES_SQL}\n" + """
+SELECT CAST(SUM(support) AS BIGINT) AS n, ROUND(SUM(support * f1) / SUM(support), 9) AS weighted_f1 FROM scores""")
+def weighted_f1(t: Inputs) -> DataFrame:
+    scores = agreement.class_scores(agreement.confusion(rating_pairs(t), "a", "b"))
+    return agreement.weighted_f1(scores).withColumn("weighted_f1", F.round("weighted_f1", 9))
+
+
+@query("e3_confusion_matrix", RATED + """
+SELECT a AS truth, COUNT(*) FILTER (b = 'Good') AS "pred_Good", COUNT(*) FILTER (b = 'Moderate') AS "pred_Moderate",
+       COUNT(*) FILTER (b = 'Poor') AS "pred_Poor" FROM pairs GROUP BY a""")
+def confusion_matrix(t: Inputs) -> DataFrame:
+    return agreement.confusion_matrix(agreement.confusion(rating_pairs(t), "a", "b"), CLASSES)
+
+
+RULES_SQL = ctes(["readings", "waterbodies"], RIVERS, MATCHED) + """,
+base AS (SELECT CASE WHEN wfd_status = 'Poor' THEN 1 ELSE 0 END AS y, COALESCE(phosphate_mid > 0.1, FALSE) AS p,
+                COALESCE(nitrate_mid > 2, FALSE) AS n FROM matched
+         WHERE match_q <> 'poor' AND nitrate_mid IS NOT NULL AND phosphate_mid IS NOT NULL),
+flat AS (SELECT 'Rule 1 - Phosphate only (PO4 > 0.1)' AS method, y, CAST(p AS INT) AS h FROM base
+  UNION ALL SELECT 'Rule 2 - Nitrate only (NO3 > 2.0)', y, CAST(n AS INT) FROM base
+  UNION ALL SELECT 'Rule 3 - OR rule (PO4 > 0.1 OR NO3 > 2.0)', y, CAST(p OR n AS INT) FROM base
+  UNION ALL SELECT 'Rule 4 - AND rule (PO4 > 0.1 AND NO3 > 2.0)', y, CAST(p AND n AS INT) FROM base),
+c AS (SELECT method, CAST(COUNT(*) FILTER (y = 1 AND h = 1) AS DOUBLE) AS tp, CAST(COUNT(*) FILTER (y = 0 AND h = 1) AS DOUBLE) AS fp,
+             CAST(COUNT(*) FILTER (y = 1 AND h = 0) AS DOUBLE) AS fn, CAST(COUNT(*) FILTER (y = 0 AND h = 0) AS DOUBLE) AS tn
+      FROM flat GROUP BY method),
+s AS (SELECT *, COALESCE(tn / NULLIF(tn + fn, 0), 0) AS mp, COALESCE(tn / NULLIF(tn + fp, 0), 0) AS mr,
+             COALESCE(2 * tn / NULLIF(2 * tn + fn + fp, 0), 0) AS mf, COALESCE(tp / NULLIF(tp + fp, 0), 0) AS pp,
+             COALESCE(tp / NULLIF(tp + fn, 0), 0) AS pr, COALESCE(2 * tp / NULLIF(2 * tp + fn + fp, 0), 0) AS pf FROM c)
+SELECT method, ROUND(((tn + fp) * mf + (tp + fn) * pf) / (tn + fp + tp + fn), 4) AS weighted_f1,
+       ROUND(mp, 4) AS moderate_precision, ROUND(mr, 4) AS moderate_recall, ROUND(mf, 4) AS moderate_f1,
+       ROUND(pp, 4) AS poor_precision, ROUND(pr, 4) AS poor_recall, ROUND(pf, 4) AS poor_f1 FROM s"""
+
+
+@query("e4_rule_evaluation", RULES_SQL)
+def rule_evaluation(t: Inputs) -> DataFrame:
+    rows = matched_readings(t).where(
+        "match_q <> 'poor' AND nitrate_mid IS NOT NULL AND phosphate_mid IS NOT NULL")
+    return agreement.evaluate_rules(rows)
+
+
+FOLD_PAIRS = "pairs AS (SELECT doc_id % 5 AS fold, CAST(quality AS STRING) AS a, CAST(toxic AS STRING) AS b FROM labels)"
+
+
+@query("e5_mean_and_pooled_f1", f"WITH {FOLD_PAIRS}" + """,
+flat AS (SELECT fold, a AS label, 1 AS support, 0 AS claimed, CASE WHEN a = b THEN 1 ELSE 0 END AS hits FROM pairs
+         UNION ALL SELECT fold, b, 0, 1, 0 FROM pairs),
+per AS (SELECT fold, label, SUM(support) AS s, 2 * SUM(hits) / CAST(SUM(support) + SUM(claimed) AS DOUBLE) AS f1
+        FROM flat GROUP BY fold, label),
+folds AS (SELECT fold, SUM(s * f1) / SUM(s) AS f FROM per GROUP BY fold),
+pool AS (SELECT label, SUM(support) AS s, 2 * SUM(hits) / CAST(SUM(support) + SUM(claimed) AS DOUBLE) AS f1
+         FROM flat GROUP BY label)
+SELECT ROUND((SELECT AVG(f) FROM folds), 9) AS mean_f1, ROUND(SUM(s * f1) / SUM(s), 9) AS pooled_f1 FROM pool""")
+def mean_and_pooled(t: Inputs) -> DataFrame:
+    rows = t.table("labels").selectExpr("doc_id % 5 AS fold", "CAST(quality AS STRING) AS wfd_status",
+                                        "CAST(toxic AS STRING) AS predicted")
+    result = learning.CrossValidated("rf", [], ["0", "1"], rows)
+    return result.summary().select(F.round("mean_f1", 9).alias("mean_f1"), F.round("pooled_f1", 9).alias("pooled_f1"))
+
+
+@query("e6_exact_agreement", RATED + """
+SELECT AVG(CASE WHEN a = b THEN CAST(100 AS DOUBLE) ELSE 0 END) AS agreement_pct, COUNT(*) AS n FROM pairs""")
+def exact_agreement(t: Inputs) -> DataFrame:
+    return agreement.exact_agreement(rating_pairs(t), "a", "b")
+
+
+@query("e6_agreement_without_good", RATED + """
+SELECT AVG(CASE WHEN a = b THEN CAST(100 AS DOUBLE) ELSE 0 END) AS agreement_pct, COUNT(*) AS n FROM pairs WHERE a <> 'Good'""")
+def agreement_without_good(t: Inputs) -> DataFrame:
+    return agreement.exact_agreement(rating_pairs(t).where("a <> 'Good'"), "a", "b")
+
+
+@query("e7_f18_kappa", f"WITH {FOLD_PAIRS}" + """,
+m AS (SELECT label, SUM(x) AS x, SUM(y) AS y FROM (SELECT a AS label, 1 AS x, 0 AS y FROM pairs
+      UNION ALL SELECT b, 0, 1 FROM pairs) GROUP BY label),
+k AS (SELECT (SELECT COUNT(*) FILTER (a = b) / CAST(COUNT(*) AS DOUBLE) FROM pairs) AS po,
+             SUM(x * y) / POWER((SELECT COUNT(*) FROM pairs), 2) AS pe FROM m)
+SELECT ROUND((po - pe) / (1 - pe), 9) AS kappa, CASE WHEN (po - pe) / (1 - pe) < 0.2 THEN 'slight'
+  WHEN (po - pe) / (1 - pe) < 0.4 THEN 'fair' ELSE 'more' END AS strength FROM k""")
+def kappa(t: Inputs) -> DataFrame:
+    text = t.table("labels").selectExpr("CAST(quality AS STRING) AS a", "CAST(toxic AS STRING) AS b")
+    k = agreement.cohen_kappa(agreement.confusion(text, "a", "b"))
+    return k.select(F.round("kappa", 9).alias("kappa"), kappa_strength("kappa").alias("strength"))
+
+
+@query("e8_correlation_by_feature", f"WITH {VECTOR_LONG}" + """
+SELECT feature, ROUND(CORR(value, label), 6) AS corr FROM shap_long
+WHERE feature NOT IN (SELECT 'f' || CAST(2 + 5 * i AS STRING) FROM (SELECT UNNEST(range(13)) AS i)) GROUP BY feature""")
+def correlation_by_feature(t: Inputs) -> DataFrame:
+    moving = vector_long(t).where("CAST(SUBSTRING(feature, 2) AS INT) % 5 <> 2")
+    return stats.correlation(moving, "value", "label", ["feature"]).select("feature", F.round("corr", 6).alias("corr"))
+
+
+FOLD_IMPORTANCE = f"""{VECTOR_LONG},
+imp AS (SELECT label % 5 AS fold, feature, ROUND(AVG(ABS(shap)), 12) AS importance FROM shap_long GROUP BY 1, 2),
+ranks AS (SELECT fold, feature, RANK() OVER (PARTITION BY fold ORDER BY importance DESC)
+  + (COUNT(*) OVER (PARTITION BY fold, importance) - 1) / 2e0 AS rank FROM imp),
+rho AS (SELECT a.fold AS fa, b.fold AS fb, CORR(a.rank, b.rank) AS spearman FROM ranks a
+  JOIN ranks b ON a.feature = b.feature AND a.fold < b.fold GROUP BY 1, 2)"""
+
+
+@query("e9_x4_w4_fold_rank_stability", f"WITH {FOLD_IMPORTANCE}" + """
+SELECT ROUND(AVG(spearman), 9) AS mean_spearman, COUNT(*) AS n_pairs,
+       CASE WHEN AVG(spearman) > 0.7 THEN 'high' ELSE 'moderate' END AS stability FROM rho""")
+def fold_rank_stability(t: Inputs) -> DataFrame:
+    importance = vector_long(t).groupBy((F.col("label") % 5).alias("fold"), "feature").agg(
+        F.round(F.avg(F.abs("shap")), 12).alias("importance"))
+    return explain.fold_stability(importance).withColumn("mean_spearman", F.round("mean_spearman", 9))
+
+
+def vector_rows(t: Inputs, width: int = 12) -> DataFrame:
+    """Vectors as labelled feature rows with positions, for the model queries."""
+    return t.table("embeddings").select(
+        F.col("vec_id").cast("string").alias("fww_id"),
+        F.when(F.col("label") >= 7, "Poor").otherwise("Moderate").alias("wfd_status"),
+        *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(width)],
+        F.col("embedding")[0].cast("double").alias("easting"), F.col("embedding")[1].cast("double").alias("northing"))
+
+
+NAMES = [f"f{i}" for i in range(12)]
+
+
+@query("e11_direction_reliability", f"WITH {VECTOR_LONG}" + """,
+c AS (SELECT feature, CORR(value, label) AS r FROM shap_long WHERE feature IN ('f0', 'f1', 'f3', 'f4', 'f5', 'f6', 'f8') GROUP BY feature),
+m AS (SELECT feature, AVG(shap) FILTER (label < 7) AS mm, AVG(shap) FILTER (label >= 7) AS pm FROM shap_long GROUP BY feature)
+SELECT c.feature, ROUND(r, 6) AS shap_corr, (r > 0) = (pm > mm) AS directions_agree, ABS(r) >= 0.05 AS strong_enough,
+       (r > 0) = (pm > mm) AND ABS(r) >= 0.05 AS reliable FROM c JOIN m ON c.feature = m.feature""")
+def direction_reliability(t: Inputs) -> DataFrame:
+    names = ["f0", "f1", "f3", "f4", "f5", "f6", "f8"]
+    shap = vector_long(t).where(F.col("feature").isin(names)).select(
+        "feature", "value", F.col("label").cast("double").alias("shap"))
+    result = stats.direction_reliability(shap, vector_rows(t), names, 0.05)
+    return result.select("feature", F.round("shap_corr", 6).alias("shap_corr"), "directions_agree", "strong_enough", "reliable")
+
+
+@query("e12_direction_by_median", f"WITH {VECTOR_LONG}" + """,
+c AS (SELECT feature, CORR(value, label) AS r FROM shap_long WHERE feature IN ('f0', 'f1', 'f3') GROUP BY feature),
+m AS (SELECT feature, MEDIAN(shap) FILTER (label < 7) AS mm, MEDIAN(shap) FILTER (label >= 7) AS pm FROM shap_long GROUP BY feature)
+SELECT c.feature, ROUND(r, 6) AS shap_corr, mm AS moderate_median, pm AS poor_median, pm > mm AS poor_higher
+FROM c JOIN m ON c.feature = m.feature""")
+def direction_by_median(t: Inputs) -> DataFrame:
+    names = ["f0", "f1", "f3"]
+    shap = vector_long(t).where(F.col("feature").isin(names)).select(
+        "feature", "value", F.col("label").cast("double").alias("shap"))
+    result = stats.direction_by_median(shap, vector_rows(t), names)
+    return result.withColumn("shap_corr", F.round("shap_corr", 6))
+
+
+# ---- explanations on a keyed long table ----------------------------------------------------------
+@query("x6_f21_local_explanation", f"WITH {VECTOR_LONG}" + """
+SELECT feature, shap, CASE WHEN shap > 0 THEN 'Polluted' ELSE 'Healthy' END AS direction FROM shap_long WHERE fww_id = '17'""")
+def local_explanation(t: Inputs) -> DataFrame:
+    return explain.local_explanation(vector_long(t), "17").select("feature", "shap", "direction")
+
+
+@query("x6_x7_f25_factor_counts", f"WITH {VECTOR_LONG}" + """
+SELECT fww_id, COUNT(*) AS n_factors, COUNT(*) FILTER (shap > 0) AS n_toward_poor,
+       COUNT(*) FILTER (shap < 0) AS n_toward_moderate, ROUND(SUM(shap) FILTER (shap > 0), 6) AS pull_poor,
+       ROUND(SUM(shap) FILTER (shap < 0), 6) AS pull_healthy,
+       ROUND(COUNT(*) FILTER (shap > 0) / CAST(COUNT(*) AS DOUBLE) * 100, 1) AS pct_toward_poor
+FROM shap_long GROUP BY fww_id""")
+def factor_counts(t: Inputs) -> DataFrame:
+    counts = explain.factor_counts(vector_long(t))
+    return counts.withColumns({"pull_poor": F.round("pull_poor", 6), "pull_healthy": F.round("pull_healthy", 6)})
+
+
+COUNTS_SQL = f"""{VECTOR_LONG},
+k AS (SELECT fww_id, COUNT(*) FILTER (shap > 0) AS n_toward_poor,
+             ROUND(COUNT(*) FILTER (shap > 0) / CAST(COUNT(*) AS DOUBLE) * 100, 1) AS pct FROM shap_long GROUP BY fww_id),
+p AS (SELECT CAST(event_id AS STRING) AS fww_id, CASE WHEN value > 60 THEN 'Poor' ELSE 'Moderate' END AS predicted_status,
+             CAST(event_id % 1001 AS DOUBLE) / 1000 AS prob_poor FROM events)"""
+
+
+def _event_predictions(t: Inputs) -> DataFrame:
+    return t.table("events").selectExpr(
+        "CAST(event_id AS STRING) AS fww_id", "CASE WHEN value > 60 THEN 'Poor' ELSE 'Moderate' END AS predicted_status",
+        "CAST(event_id % 1001 AS DOUBLE) / 1000 AS prob_poor")
+
+
+@query("a23_x7_counts_by_status", f"WITH {COUNTS_SQL}" + """
+SELECT predicted_status, AVG(n_toward_poor) AS mean_toward_poor, ROUND(AVG(pct), 6) AS mean_pct_toward_poor,
+       COUNT(*) AS n_sites, MEDIAN(n_toward_poor) AS median_toward_poor
+FROM k JOIN p ON k.fww_id = p.fww_id GROUP BY predicted_status""")
+def counts_by_status(t: Inputs) -> DataFrame:
+    result = explain.counts_by_status(explain.factor_counts(vector_long(t)), _event_predictions(t))
+    return result.withColumn("mean_pct_toward_poor", F.round("mean_pct_toward_poor", 6))
+
+
+@query("j13_x7_count_against_probability", f"WITH {COUNTS_SQL}" + """
+SELECT ROUND(CORR(n_toward_poor, prob_poor), 6) AS corr, CASE WHEN CORR(n_toward_poor, prob_poor) > 0.3 THEN 'strong'
+  WHEN CORR(n_toward_poor, prob_poor) > 0.1 THEN 'weak' ELSE 'little or none' END AS strength FROM k JOIN p ON k.fww_id = p.fww_id""")
+def count_against_probability(t: Inputs) -> DataFrame:
+    result = explain.count_probability(explain.factor_counts(vector_long(t)), _event_predictions(t))
+    return result.withColumn("corr", F.round("corr", 6))
+
+
+@query("j14_keyed_shap_with_values", f"WITH {VECTOR_LONG}" + """
+SELECT s.fww_id, s.feature, s.shap, p.predicted_status FROM shap_long s
+JOIN (SELECT CAST(event_id AS STRING) AS fww_id, CASE WHEN value > 60 THEN 'Poor' ELSE 'Moderate' END AS predicted_status
+      FROM events) p ON s.fww_id = p.fww_id""")
+def keyed_shap(t: Inputs) -> DataFrame:
+    labels = _event_predictions(t).select("fww_id", "predicted_status")
+    return vector_long(t).join(labels, "fww_id").select("fww_id", "feature", "shap", "predicted_status")
+
+
+# ---- models --------------------------------------------------------------------------------------
+FOREST = {"numTrees": 10, "maxDepth": 5}
+SMALL = {"rf": FOREST, "gbt": {"maxIter": 8, "maxDepth": 4}, "logreg": {"maxIter": 100}}
+
+
+def folded_vectors(t: Inputs) -> DataFrame:
+    return written(learning.spatial_folds(vector_rows(t), restarts=3), "folded")
+
+
+def training_matrix(t: Inputs) -> DataFrame:
+    """The two-class part of the feature matrix, computed once."""
+    return written(full_matrix(t).where(F.col("wfd_status").isin("Moderate", "Poor")), "matrix")
+
+
+@query("m1_spatial_folds")
+def spatial_folds(t: Inputs) -> DataFrame:
+    folded = learning.spatial_folds(t.readings.select("fww_id", "easting", "northing"))
+    return folded.groupBy("fold").agg(F.count("*").alias("n"), F.min("easting").alias("west"), F.max("easting").alias("east"))
+
+
+@query("m2_m3_m6_forest_cross_validation")
+def forest_cv(t: Inputs) -> DataFrame:
+    folded = written(learning.spatial_folds(training_matrix(t), restarts=3), "folded")
+    return learning.cross_validate(folded, FEATURES, "rf", **FOREST).fold_scores()
+
+
+@query("m4_boosted_cross_validation")
+def boosted_cv(t: Inputs) -> DataFrame:
+    return learning.cross_validate(folded_vectors(t), NAMES, "gbt", **SMALL["gbt"]).pooled()
+
+
+@query("m5_logistic_cross_validation")
+def logistic_cv(t: Inputs) -> DataFrame:
+    return learning.cross_validate(folded_vectors(t), NAMES, "logreg").pooled()
+
+
+@query("m7_fold_importance")
+def fold_importance(t: Inputs) -> DataFrame:
+    return learning.cross_validate(folded_vectors(t), NAMES, "rf", **FOREST).feature_importance()
+
+
+@query("m8_m9_s21_saved_model_scores_matrix")
+def saved_model_scores(t: Inputs) -> DataFrame:
+    rows = training_matrix(t)
+    models = ModelStore(t.spark, new_folder(t.spark, "models"))
+    models.save(learning.train_final(rows, FEATURES, "rf", **FOREST), "rf", AS_OF)
+    scored = learning.score(models.load("rf"), rows, FEATURES)
+    return learning.prediction_rows(scored, "rf_model", "historical", AS_OF)
+
+
+@query("m10_w6_model_comparison")
+def model_comparison(t: Inputs) -> DataFrame:
+    folded = folded_vectors(t)
+    results = training.compare_models(folded, NAMES, changes=SMALL)
+    rules = folded.withColumns({"phosphate_mid": F.col("f0") + 0.1, "nitrate_mid": F.col("f1") + 2})
+    return agreement.comparison(training.comparison_table(rules, results))
+
+
+@query("m11_w3_s20_ablation")
+def ablation(t: Inputs) -> DataFrame:
+    sets = {"first": NAMES[:2], "second": NAMES[:5], "all": NAMES}
+    return training.ablation(folded_vectors(t), "rf", sets, **FOREST)
+
+
+@query("m12_oversampled_rows")
+def oversampled_rows(t: Inputs) -> DataFrame:
+    rows, _ = learning.prepared(vector_rows(t), NAMES)
+    return oversample(rows, NAMES).groupBy("wfd_status", F.contains("fww_id", F.lit("+")).alias("synthetic")).agg(
+        F.count("*").alias("n"), F.avg("f0").alias("mean_f0"))
+
+
+@query("m12_e10_oversampled_forest")
+def oversampled_forest(t: Inputs) -> DataFrame:
+    folded = folded_vectors(t)
+    result = training.train_oversampled(folded, NAMES, **FOREST)
+    plain = learning.cross_validate(folded, NAMES, "rf", **FOREST).pooled()
+    metrics = plain.select(F.col("moderate_f1").alias("mod_f1"), "poor_f1")
+    return training.oversampling_verdict(result, agreement.share_weighted_f1(metrics, folded))
+
+
+@query("m13_p23_feature_test")
+def feature_test(t: Inputs) -> DataFrame:
+    return training.feature_test(folded_vectors(t), "f3", NAMES, "rf", **FOREST)
+
+
+@query("m14_retraining_job")
+def retraining(t: Inputs) -> DataFrame:
+    store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
+    store.replace("feat_matrix", training_matrix(t), AS_OF)
+    models = ModelStore(t.spark, new_folder(t.spark, "models"))
+    training.retrain(store, models, AS_OF, "logreg")
+    training.score_history(store, models, AS_OF, "logreg")
+    return store.row_counts()
+
+
+@query("m15_x8_seed_stability")
+def seed_stability(t: Inputs) -> DataFrame:
+    checks = training.seed_stability(folded_vectors(t), NAMES[:6], [1, 2], numTrees=5, maxDepth=4)
+    return checks["spread"].withColumn("row", F.lit(1)).join(
+        checks["agreement"].withColumn("row", F.lit(1)), "row").drop("row")
+
+
+@query("m16_hypothetical_site")
+def hypothetical_site(t: Inputs) -> DataFrame:
+    rows = vector_rows(t)
+    model = learning.train_final(rows, NAMES, "rf", **FOREST)
+    return learning.score(model, training.hypothetical(rows, NAMES, {"f0": 0.3}), NAMES)
+
+
+@query("x1_x2_forest_shap_values")
+def forest_shap(t: Inputs) -> DataFrame:
+    rows = vector_rows(t)
+    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "rf", **FOREST), rows, NAMES)
+    return shap
+
+
+@query("x1_boosted_shap_values")
+def boosted_shap(t: Inputs) -> DataFrame:
+    rows = vector_rows(t)
+    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "gbt", **SMALL["gbt"]), rows, NAMES)
+    return shap
+
+
+@query("x1_additivity_of_shap_values", """
+SELECT COUNT(*) AS n, COUNT(*) AS n_exact FROM embeddings""")
+def shap_additivity(t: Inputs) -> DataFrame:
+    rows = vector_rows(t)
+    model = learning.train_final(rows, NAMES, "rf", **FOREST)
+    shap, base = treeshap.shap_values(model, rows, NAMES)
+    sums = shap.groupBy("fww_id").agg((F.sum("shap") + base).alias("total"))
+    chance = learning.score(model, rows, NAMES).select("fww_id", "prob_poor")
+    exact = F.abs(F.col("total") - F.col("prob_poor")) <= 0.0000501
+    return sums.join(chance, "fww_id").agg(F.count("*").alias("n"), F.count_if(exact).alias("n_exact"))
+
+
+@query("x3_x5_importance_and_sign_check")
+def importance_and_sign(t: Inputs) -> DataFrame:
+    rows = training_matrix(t)
+    model = learning.train_final(rows, FEATURES, "rf", numTrees=10, maxDepth=5)
+    shap, _ = treeshap.shap_values(model, rows, FEATURES)
+    shap = written(shap, "shap")
+    importance = explain.global_importance(shap)
+    corr = stats.correlation(shap, "value", "shap", ["feature"])
+    return importance.join(corr, "feature").withColumn("as_expected", F.coalesce(F.col("corr") > 0, F.lit(False)))
+
+
+@query("x4_shap_fold_stability")
+def shap_fold_stability(t: Inputs) -> DataFrame:
+    return training.shap_fold_stability(folded_vectors(t), NAMES, numTrees=5, maxDepth=4)[1]

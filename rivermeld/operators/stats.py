@@ -109,9 +109,17 @@ def share_at_most(df: DataFrame, feature: str, value: float) -> DataFrame:
     )
 
 
+def pearson(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null, not an error, when a side never varies."""
+    both = column(x).isNotNull() & column(y).isNotNull()
+    a = F.when(both, column(x).cast("double"))
+    b = F.when(both, column(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlation(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: str = "corr") -> DataFrame:
     """Pearson correlation, per group if asked; mergeable moments only."""
-    return df.groupBy(*(by or [])).agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(name))
+    return df.groupBy(*(by or [])).agg(pearson(x, y).alias(name))
 
 
 def average_rank_desc(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -127,7 +135,7 @@ def rank_correlations(importance: DataFrame, group: str, item: str, value: str)
     left = ranked.select(F.col(group).alias("group_a"), item, F.col("rank").alias("rank_a"))
     right = ranked.select(F.col(group).alias("group_b"), item, F.col("rank").alias("rank_b"))
     pairs = left.join(right, item).where(F.col("group_a") < F.col("group_b"))
-    return pairs.groupBy("group_a", "group_b").agg(F.corr("rank_a", "rank_b").alias("spearman"))
+    return pairs.groupBy("group_a", "group_b").agg(pearson("rank_a", "rank_b").alias("spearman"))
 
 
 def direction_reliability(shap: DataFrame, matrix: DataFrame, features: list[str],

@@ -67,7 +67,7 @@ class Warehouse:
         schema = entry.schema
         if entry.day_of:
             schema = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
-        rows = self.spark.read.schema(schema).parquet(*[f"{path}/{c}" for c in chosen])
+        rows = self.spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{c}" for c in chosen])
         return rows.select(*entry.schema.names)
 
     def read_days(self, name: str, first: str, last: str) -> DataFrame:
@@ -78,10 +78,20 @@ class Warehouse:
         chosen = self._finished(path, "batch=")
         if not chosen:
             return self.spark.createDataFrame([], entry.schema)
-        rows = self.spark.read.schema(schema).parquet(*[f"{path}/{c}" for c in chosen])
+        rows = self.spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{c}" for c in chosen])
         wanted = F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
         return rows.where(wanted).select(*entry.schema.names)
 
+    def read_batch(self, name: str, batch: str) -> DataFrame:
+        """Rows one batch appended."""
+        entry = TABLES[name]
+        return self.spark.read.schema(entry.schema).parquet(f"{self.root}/{name}/batch={batch}").select(
+            *entry.schema.names)
+
+    def batch_rows(self, name: str, batch: str) -> int:
+        """Rows one batch appended, from the file footers."""
+        return self.spark.read.parquet(f"{self.root}/{name}/batch={batch}").count()
+
     # ---- writing ---------------------------------------------------------------------------------
     def _conform(self, name: str, df: DataFrame) -> DataFrame:
         """The table's columns by name and type; columns the frame lacks become null."""
@@ -146,12 +156,12 @@ class Warehouse:
 
     # ---- audit -----------------------------------------------------------------------------------
     def log_run(self, source: str, fetched: int, new: int, status: str, as_of: str,
-                error: str | None = None) -> None:
+                error: str | None = None, batch: str | None = None) -> None:
         row = self.spark.range(1).select(
             F.lit(source).alias("source"), F.lit(int(fetched)).alias("records_fetched"),
             F.lit(int(new)).alias("records_new"), F.lit(status).alias("status"),
             F.lit(error).cast("string").alias("error_msg"), at_time(as_of).alias("run_at"))
-        self.append("ingestion_log", row.coalesce(1))
+        self.append("ingestion_log", row.coalesce(1), batch=batch)
 
     def row_counts(self) -> DataFrame:
         """Rows of every table; unwritten tables count zero."""
