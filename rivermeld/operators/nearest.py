@@ -1,9 +1,9 @@
 """Nearest-place joins on planar coordinates (metres).
 
 Space is cut into square query cells. For each cell the index lists every place that can be nearest to
-some point of the cell; cells whose list is long are quartered until the list is short, so a crowded
-town costs deeper cells, not longer lists. A point then meets exactly one cell, with one equi-join, and
-picks the minimum inside that row: no pair rows, no shuffle per point when the index is broadcast.
+some point of the cell; cells whose list is long are divided until the list is short, so a crowded
+town costs deeper cells there, not longer lists. A point then meets exactly one cell, with one equi-join,
+and picks the minimum inside that row: no pair rows, no shuffle per point when the index is broadcast.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from rivermeld.session import BROADCAST_ROWS, written
 
 LIST_TARGET = 64
-MAX_DEPTH = 10
+PARTS = 4
+MAX_DEPTH = 5
 SALTS = 16
+SLACK_M2 = 1e-3
 ANY_DISTANCE = 1e12
 
 
@@ -53,15 +55,15 @@ def _prune(pairs: DataFrame, size: float, limit: float) -> DataFrame:
         "far2": far_e * far_e + far_n * far_n,
     })
     ceiling = bounded.groupBy("cx", "cy").agg(F.min("far2").alias("cell_far2"))
-    # A metre of slack keeps places that differ only by rounding.
-    keep = (F.col("near2") <= F.col("cell_far2") + 1.0) & (F.col("near2") <= F.lit(limit * limit + 1.0))
+    # The slack keeps places that differ only by rounding.
+    keep = (F.col("near2") <= F.col("cell_far2") + SLACK_M2) & (F.col("near2") <= F.lit(limit * limit + SLACK_M2))
     return bounded.join(ceiling, ["cx", "cy"]).where(keep).select("cx", "cy", "e", "n", "place")
 
 
-def _quarter(pairs: DataFrame, size: float, limit: float) -> DataFrame:
-    """Pairs of the four half-size cells inside each cell; `size` is the new size."""
-    finer = pairs.withColumn("q", F.explode(_steps((0, 1)))).select(
-        (F.col("cx") * 2 + F.col("q.dx")).alias("cx"), (F.col("cy") * 2 + F.col("q.dy")).alias("cy"),
+def _divide(pairs: DataFrame, size: float, limit: float) -> DataFrame:
+    """Pairs of the sixteen cells of a quarter of the side inside each cell; `size` is the new size."""
+    finer = pairs.withColumn("q", F.explode(_steps((0, 1, 2, 3)))).select(
+        (F.col("cx") * PARTS + F.col("q.dx")).alias("cx"), (F.col("cy") * PARTS + F.col("q.dy")).alias("cy"),
         "e", "n", "place")
     return _prune(finer, size, limit)
 
@@ -75,87 +77,96 @@ def _near_pairs(spots: DataFrame, reach: float) -> DataFrame:
 
 
 def _far_pairs(spots: DataFrame, occupied: DataFrame, size: float, levels: int) -> DataFrame:
-    """Pairs for the occupied cells with no bound on distance, by quartering one cell around everything."""
+    """Pairs for the occupied cells with no bound on distance, by dividing one cell around everything."""
     pairs = spots.select(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), "e", "n", "place")
     for level in range(levels - 1, -1, -1):
-        ancestors = occupied.select(F.expr(f"shiftright(cx, {level})").alias("cx"),
-                                    F.expr(f"shiftright(cy, {level})").alias("cy")).distinct()
-        pairs = _quarter(pairs, size * 2 ** level, ANY_DISTANCE).join(ancestors, ["cx", "cy"], "left_semi")
+        ancestors = occupied.select(F.expr(f"shiftright(cx, {2 * level})").alias("cx"),
+                                    F.expr(f"shiftright(cy, {2 * level})").alias("cy")).distinct()
+        pairs = _divide(pairs, size * PARTS ** level, ANY_DISTANCE).join(ancestors, ["cx", "cy"], "left_semi")
         pairs = written(pairs, "place-pairs")
     return pairs
 
 
-def _candidate_lists(pairs: DataFrame, size: float, limit: float, list_target: int) -> tuple[DataFrame, int]:
-    """Quarter crowded cells until their lists are short; returns (depth, cx, cy, items) and the depth.
+def _candidate_lists(pairs: DataFrame, size: float, limit: float,
+                     list_target: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Divide crowded cells until their lists are short.
 
-    All cells below one top cell share a depth, so a point finds its list from its top cell alone.
+    Returns the lists (depth, cx, cy, es, ns, places) of the cells left whole, the cells that were divided
+    (depth, cx, cy), and the greatest depth. Only crowded spots get deep cells.
     """
-    done: DataFrame | None = None
+    whole: DataFrame | None = None
+    split: DataFrame | None = None
     for depth in range(MAX_DEPTH + 1):
         pairs = written(pairs, "place-pairs")
-        top = [F.expr(f"shiftright(cx, {depth})").alias("tx"), F.expr(f"shiftright(cy, {depth})").alias("ty")]
-        crowded = (
-            pairs.groupBy("cx", "cy").agg(F.count("*").alias("k"))
-            .where(F.col("k") > list_target).select(*top).distinct()
-        )
+        crowded = pairs.groupBy("cx", "cy").agg(F.count("*").alias("k")).where(
+            F.col("k") > list_target).select("cx", "cy")
         last = depth == MAX_DEPTH or crowded.isEmpty()
-        marked = pairs.select("*", *top)
-        settled = marked if last else marked.join(crowded, ["tx", "ty"], "left_anti")
+        settled = pairs if last else pairs.join(crowded, ["cx", "cy"], "left_anti")
         level = (
             settled.groupBy("cx", "cy")
-            .agg(F.collect_list(F.struct("e", "n", "place")).alias("items"))
-            .select(F.lit(depth).alias("depth"), "cx", "cy", "items")
+            .agg(F.array_sort(F.collect_list(F.struct("place", "e", "n"))).alias("items"))
+            .select(F.lit(depth).alias("depth"), "cx", "cy", F.col("items.e").alias("es"),
+                    F.col("items.n").alias("ns"), F.col("items.place").alias("places"))
         )
-        done = level if done is None else done.unionByName(level)
+        whole = level if whole is None else whole.unionByName(level)
         if last:
-            return written(done, "place-index"), depth
-        pairs = _quarter(marked.join(crowded, ["tx", "ty"], "left_semi"), size / 2 ** (depth + 1), limit)
+            return written(whole, "place-lists"), None if split is None else written(split, "place-splits"), depth
+        cut = crowded.select(F.lit(depth).alias("depth"), "cx", "cy")
+        split = cut if split is None else split.unionByName(cut)
+        pairs = _divide(pairs.join(crowded, ["cx", "cy"], "left_semi"), size / PARTS ** (depth + 1), limit)
     raise AssertionError("unreachable")
 
 
-def _look_up(points: DataFrame, lists: DataFrame, depth: int, size: float, reach: float,
-             broadcast_rows: int) -> DataFrame:
+def _cell_at(depth: Column, size: float) -> dict[str, Column]:
+    """The point's cell at a depth."""
+    scaled = F.lit(size) / F.pow(F.lit(float(PARTS)), depth)
+    return {"cx": _cell(F.col("px"), scaled), "cy": _cell(F.col("py"), scaled)}
+
+
+def _few(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def _look_up(points: DataFrame, lists: DataFrame, split: DataFrame | None, depth: int, size: float,
+             reach: float, row_limit: int) -> DataFrame:
     """Set `best` on points that have none yet, from lists exact up to `reach`."""
     wanted = F.col("best").isNull() & F.col("usable")
-    small = lists.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keyed = points
-    if depth:
-        # One row per top cell that holds places: as many as the map has cells.
-        tops = lists.selectExpr("shiftright(cx, depth) AS tx", "shiftright(cy, depth) AS ty",
-                                "depth AS cell_depth").distinct()
-        tops = F.broadcast(tops) if small else tops
-        keyed = keyed.withColumns({"tx": _cell(F.col("px"), size), "ty": _cell(F.col("py"), size)})
-        keyed = keyed.join(tops, ["tx", "ty"], "left").drop("tx", "ty")
-    else:
-        keyed = keyed.withColumn("cell_depth", F.lit(0))
-    cell_size = F.lit(size) / F.pow(F.lit(2.0), F.col("cell_depth"))
-    keyed = keyed.withColumns({"cx": _cell(F.col("px"), cell_size), "cy": _cell(F.col("py"), cell_size)})
-    if small:
-        keyed = keyed.withColumn("depth", F.when(wanted, F.col("cell_depth")))
+    keyed = points.withColumn("depth", F.when(wanted, F.lit(0)))
+    if split is not None:
+        # Walk down from the top cell: one small join per depth, only for points whose cell was divided.
+        cells = F.broadcast(split) if _few(split, BROADCAST_ROWS) else split
+        cells = cells.withColumn("deeper", F.lit(1))
+        for at in range(depth):
+            keyed = keyed.withColumns(_cell_at(F.lit(at), size))
+            keyed = keyed.join(cells.where(F.col("depth") == at), ["depth", "cx", "cy"], "left")
+            keyed = keyed.withColumn("depth", F.col("depth") + F.coalesce("deeper", F.lit(0))).drop("deeper")
+    keyed = keyed.withColumns(_cell_at(F.col("depth"), size))
+    if _few(lists, row_limit):
         joined = keyed.join(F.broadcast(lists), ["depth", "cx", "cy"], "left")
     else:
         # A crowded cell may hold a third of all points: spread it over salted copies of its list. Points
-        # that need no match get their own spread of keys instead of one null key.
+        # that need no match get their own spread of keys instead of one null key. The size of the written
+        # lists is a compressed one, so it must not talk Spark into a broadcast.
         keyed = keyed.withColumns({
             "salt": F.pmod(F.xxhash64("px", "py"), F.lit(SALTS)).cast("int"),
-            "depth": F.when(wanted & F.col("cell_depth").isNotNull(), F.col("cell_depth"))
-                      .otherwise(-1 - F.pmod(F.xxhash64(*points.columns[:1], "py", "px"),
-                                             F.lit(1 << 20)).cast("int")),
+            "depth": F.coalesce("depth", -1 - F.pmod(F.xxhash64(points.columns[0], "py", "px"),
+                                                     F.lit(1 << 20)).cast("int")),
         })
-        salted = lists.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+        salted = lists.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)]))).hint("merge")
         joined = keyed.join(salted, ["depth", "cx", "cy", "salt"], "left").drop("salt")
 
-    def measured(item: Column) -> Column:
-        de, dn = item["e"] - F.col("px"), item["n"] - F.col("py")
-        return F.struct((de * de + dn * dn).alias("d2"), item["place"].alias("place"))
+    # Plain arrays of doubles keep this inner loop free of row objects. Lists are ordered by place, so the
+    # first position of the minimum is the smallest place among ties.
+    def distance2(e: Column, n: Column) -> Column:
+        de, dn = e - F.col("px"), n - F.col("py")
+        return de * de + dn * dn
 
-    found = F.array_min(F.transform("items", measured))
-    close = F.when(found["d2"] <= reach * reach, found)
-    return (
-        joined.withColumn("found", close)
-        .withColumn("best", F.coalesce(F.col("best"), F.col("found")))
-        .drop("found", "items", "depth", "cx", "cy", "cell_depth")
-    )
+    measured = joined.withColumn("d2s", F.zip_with("es", "ns", distance2))
+    measured = measured.withColumn("least", F.array_min("d2s"))
+    place = F.get("places", F.array_position("d2s", F.col("least")).cast("int") - 1)
+    found = F.when(F.col("least") <= reach * reach, F.struct(F.col("least").alias("d2"), place.alias("place")))
+    return measured.withColumn("best", F.coalesce(F.col("best"), found)).drop(
+        "d2s", "least", "es", "ns", "places", "depth", "cx", "cy")
 
 
 @dataclass(frozen=True)
@@ -164,6 +175,7 @@ class PlaceIndex:
 
     spots: DataFrame
     lists: DataFrame
+    split: DataFrame | None
     depth: int
     reach: float
     place_id: str
@@ -174,7 +186,8 @@ class PlaceIndex:
     def attach(self, points: DataFrame, xy: tuple[str, str] = ("easting", "northing"),
                distance: str = "dist_m") -> DataFrame:
         """Left-join points to their nearest place within reach."""
-        work = _look_up(self._started(points, xy), self.lists, self.depth, self.reach, self.reach, self.row_limit)
+        work = _look_up(self._started(points, xy), self.lists, self.split, self.depth, self.reach,
+                        self.reach, self.row_limit)
         return self._finished(work, points, distance)
 
     def _started(self, points: DataFrame, xy: tuple[str, str]) -> DataFrame:
@@ -205,8 +218,8 @@ def index_places(places: DataFrame, place_id: str, carry: list[str] | None = Non
     spots = places.where(east.isNotNull() & north.isNotNull()).select(
         (east - origin[0]).alias("e"), (north - origin[1]).alias("n"), F.struct(place_id, *carry).alias("place"))
     spots = written(spots.groupBy("e", "n").agg(F.min("place").alias("place")), "places")
-    lists, depth = _candidate_lists(_near_pairs(spots, reach), reach, reach, list_target)
-    return PlaceIndex(spots, lists, depth, reach, place_id, tuple(carry), origin,
+    lists, split, depth = _candidate_lists(_near_pairs(spots, reach), reach, reach, list_target)
+    return PlaceIndex(spots, lists, split, depth, reach, place_id, tuple(carry), origin,
                       max(broadcast_rows // list_target, 1))
 
 
@@ -241,17 +254,18 @@ def nearest_join(
     if box[0] is not None:
         origin = (math.floor(box[0]), math.floor(box[1]))
         span = max(box[2] - origin[0], box[3] - origin[1]) + 1.0
-        levels = max(math.ceil(math.log2(span / first_reach)), 0)
+        levels = max(math.ceil(math.log(span / first_reach, PARTS)), 0)
     index = index_places(places, place_id, carry, float(first_reach), origin=origin, list_target=list_target,
                          broadcast_rows=broadcast_rows)
-    work = _look_up(index._started(points, xy), index.lists, index.depth, index.reach, index.reach, index.row_limit)
+    work = _look_up(index._started(points, xy), index.lists, index.split, index.depth, index.reach, index.reach,
+                    index.row_limit)
     left_over = work.where(F.col("best").isNull() & F.col("usable"))
     occupied = written(left_over.select(_cell(F.col("px"), index.reach).alias("cx"),
                                         _cell(F.col("py"), index.reach).alias("cy")).distinct(), "cells")
     if not occupied.isEmpty():
         far = _far_pairs(index.spots, occupied, index.reach, levels)
-        lists, depth = _candidate_lists(far, index.reach, ANY_DISTANCE, list_target)
-        work = _look_up(work, lists, depth, index.reach, ANY_DISTANCE, index.row_limit)
+        lists, split, depth = _candidate_lists(far, index.reach, ANY_DISTANCE, list_target)
+        work = _look_up(work, lists, split, depth, index.reach, ANY_DISTANCE, index.row_limit)
     return index._finished(work, points, distance)
 
 

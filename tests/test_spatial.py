@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivermeld.operators import landcover, matrix, nearest
 from rivermeld.settings import LAND, LAND_GROUPS, RADII
@@ -50,7 +51,7 @@ def test_crowded_places_equal_brute_force(spark, limit, broadcast_rows):
     points += [(f"q{i}", 380000 + rng.random() * 120000, 150000 + rng.random() * 120000) for i in range(250)]
     points += [("far", 900000.0, -50000.0)]
     df = nearest.nearest_join(points_frame(spark, points), places_frame(spark, places), place_id="wb_id",
-                              max_dist=limit, list_target=4, broadcast_rows=broadcast_rows)
+                              max_dist=limit, list_target=24, broadcast_rows=broadcast_rows)
     want = brute(points, places, limit)
     got = joined(df)
     assert set(got) == set(want)
@@ -102,9 +103,9 @@ def test_land_shares_equal_brute_force(spark):
 def test_matrix_keeps_valid_rows_only(spark):
     rows = [("1", "s", "good", "Poor", 1.0, 0.1, None), ("2", "s", "poor", "Poor", 1.0, 0.1, "k"),
             ("3", "s", "good", None, 1.0, 0.1, "k"), ("4", "s", "good", "Poor", None, 0.1, "k")]
-    df = spark.createDataFrame(rows, "fww_id STRING, site_name STRING, match_q STRING, wfd_status STRING, nitrate_mid DOUBLE, phosphate_mid DOUBLE, county STRING")
+    df = spark.createDataFrame(rows, "fww_id STRING, site_name STRING, match_q STRING, wfd_status STRING, nitrate_mid DOUBLE, phosphate_mid DOUBLE, county STRING").withColumn("rbd", F.lit(None).cast("string"))
     got = matrix.build_matrix(df).collect()
-    assert [(r["fww_id"], r["county"]) for r in got] == [("1", "Unknown")]
+    assert [(r["fww_id"], r["county"], r["rbd"]) for r in got] == [("1", "Unknown", "Unknown")]
 
 
 def test_missing_features_fail(spark):
