@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivermeld.session import spread, written
 from rivermeld.settings import LAND, LAND_GROUPS, RADII
 
 TILE_M = 250
 SALTS = 16
+POINTS_PER_TASK = 2_000
 
 
 def land_code_groups(df: DataFrame, code: str = "code") -> dict[str, Column]:
@@ -21,7 +23,7 @@ def land_code_groups(df: DataFrame, code: str = "code") -> dict[str, Column]:
 
 
 def _edge_state(radius: int, tile: int) -> tuple[Column, Column]:
-    """Squared distances from the point (px, py) to the near and far side of tile (tx, ty)."""
+    """Whether tile (tx, ty) touches the circle around (px, py), and whether it lies wholly inside."""
     low_e, low_n = F.col("tx") * tile, F.col("ty") * tile
 
     def near(v: Column, low: Column) -> Column:
@@ -36,6 +38,34 @@ def _edge_state(radius: int, tile: int) -> tuple[Column, Column]:
     return near2 <= radius * radius, far2 <= radius * radius
 
 
+def _cut_tiles(points: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Tiles cut by each point's circle: per tile row, the ends left over beside the whole tiles.
+
+    The span of a row is widened by a tile each way, and the exact test then decides.
+    """
+    px, py = F.col("px"), F.col("py")
+    rows = points.withColumn("ty", F.explode(F.sequence(
+        F.floor((py - radius) / tile), F.floor((py + radius) / tile))))
+    low = F.col("ty") * tile
+    gap = F.greatest(low - py, py - (low + tile), F.lit(0.0))
+    reach = F.greatest(F.abs(py - low), F.abs(py - (low + tile)))
+
+    def half(d: Column) -> Column:
+        return F.sqrt(F.greatest(F.lit(float(radius * radius)) - d * d, F.lit(0.0)))
+
+    rows = rows.withColumns({"outer": half(gap), "inner": half(reach)})
+    first, last = F.floor((px - F.col("outer")) / tile), F.floor((px + F.col("outer")) / tile)
+    inside_from, inside_to = F.ceil((px - F.col("inner")) / tile) + 1, F.floor((px + F.col("inner")) / tile) - 2
+    rows = rows.withColumns({"a": first, "z": last, "b": inside_from, "y": inside_to})
+    ends = F.when(F.col("b") <= F.col("y"), F.concat(
+        F.sequence(F.col("a"), F.greatest(F.col("a"), F.col("b") - 1)),
+        F.sequence(F.least(F.col("z"), F.col("y") + 1), F.col("z")),
+    )).otherwise(F.sequence(F.col("a"), F.col("z")))
+    listed = rows.select("px", "py", "ty", F.explode(F.array_distinct(ends)).alias("tx"))
+    touches, covered = _edge_state(radius, tile)
+    return listed.where(touches & ~covered)
+
+
 def _names(radius: str) -> list[str]:
     return [f"{g}_{radius}" for g in [*LAND_GROUPS, "all"]]
 
@@ -62,44 +92,43 @@ def land_counts(points: DataFrame, cells: DataFrame, nodata: list[int] | None =
     def squares(v: str) -> Column:
         return F.sequence(F.floor((F.col(v) - coarse) / coarse), F.floor((F.col(v) + coarse) / coarse))
 
-    spread = (
+    points = written(points, "positions")
+    visits = (
         points.withColumn("salt", F.pmod(F.xxhash64("px", "py"), F.lit(SALTS)).cast("int"))
         .withColumn("sx", F.explode(squares("px"))).withColumn("sy", F.explode(squares("py")))
     )
+    visits = spread(visits, POINTS_PER_TASK, "sx", "sy", "salt")
     per_square = coarse // tile
     copies = tiles.withColumns({
         "sx": F.floor(F.col("tx") / per_square), "sy": F.floor(F.col("ty") / per_square),
         "salt": F.explode(F.array(*[F.lit(s) for s in range(SALTS)])),
     })
-    inside_parts, edge_hits = [], {}
+    inside_parts = []
     for label, radius in RADII.items():
-        touches, covered = _edge_state(radius, tile)
+        _, covered = _edge_state(radius, tile)
         inside_parts += [
             F.sum(F.when(covered, F.col(f"in_{g}"))).alias(f"{g}_{label}") for g in [*LAND_GROUPS, "all"]]
-        edge_hits[label] = touches & ~covered
-    largest_touch, _ = _edge_state(coarse, tile)
+    _, largest_cover = _edge_state(coarse, tile)
     whole = (
-        spread.join(copies, ["sx", "sy", "salt"]).where(largest_touch)
+        visits.join(copies, ["sx", "sy", "salt"]).where(largest_cover)
         .groupBy("px", "py").agg(*inside_parts)
     )
 
     # Cut tiles: listed from the point by arithmetic, then opened into their cells.
-    reach = coarse // tile + 1
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    cut = (
-        points.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-        .select("px", "py", (F.floor(F.col("px") / tile) + F.col("dx")).alias("tx"),
-                (F.floor(F.col("py") / tile) + F.col("dy")).alias("ty"))
-        .withColumns({f"cut_{label}": hit for label, hit in edge_hits.items()})
-        .where(" OR ".join(f"cut_{label}" for label in RADII))
-    )
+    some = spread(points, POINTS_PER_TASK)
+    cut = None
+    for label, radius in RADII.items():
+        part = _cut_tiles(some, radius, tile).withColumn("radius", F.lit(radius))
+        cut = part if cut is None else cut.unionByName(part)
     d2 = (F.col("e") - F.col("px")) ** 2 + (F.col("n") - F.col("py")) ** 2
     edge_parts = []
     for label, radius in RADII.items():
-        counts = F.col(f"cut_{label}") & (d2 <= radius * radius)
-        edge_parts += [F.sum(F.when(counts, F.col(f"in_{g}"))).alias(f"{g}_{label}")
+        edge_parts += [F.sum(F.when(F.col("radius") == radius, F.col(f"in_{g}"))).alias(f"{g}_{label}")
                        for g in [*LAND_GROUPS, "all"]]
-    opened = cut.join(tiled, ["tx", "ty"]).groupBy("px", "py").agg(*edge_parts)
+    opened = (
+        cut.join(tiled, ["tx", "ty"]).where(d2 <= F.col("radius") * F.col("radius"))
+        .groupBy("px", "py").agg(*edge_parts)
+    )
 
     names = [name for label in RADII for name in _names(label)]
     return whole.unionByName(opened).groupBy("px", "py").agg(

@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.session import BROADCAST_ROWS, written
+from rivermeld.session import BROADCAST_ROWS, spread, written
 
-LIST_TARGET = 64
+LIST_TARGET = 128
 PARTS = 4
 MAX_DEPTH = 5
 SALTS = 16
+POSITION_ROWS = 2_000_000
+POINTS_PER_TASK = 4_000
 SLACK_M2 = 1e-3
 ANY_DISTANCE = 1e12
 
@@ -184,8 +186,19 @@ class PlaceIndex:
     row_limit: int
 
     def attach(self, points: DataFrame, xy: tuple[str, str] = ("easting", "northing"),
-               distance: str = "dist_m") -> DataFrame:
-        """Left-join points to their nearest place within reach."""
+               distance: str = "dist_m", repeated: bool = True) -> DataFrame:
+        """Left-join points to their nearest place within reach.
+
+        Sites and monitors report again and again, so with `repeated` each distinct position is looked up
+        once. When the positions prove too many to broadcast back, every point is looked up in place.
+        """
+        if repeated:
+            east, north = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
+            spots = written(points.select(east.alias("_e"), north.alias("_n")).where(
+                east.isNotNull() & north.isNotNull()).distinct(), "positions")
+            if _few(spots, POSITION_ROWS):
+                found = self.attach(spread(spots, POINTS_PER_TASK), ("_e", "_n"), distance, repeated=False)
+                return points.join(F.broadcast(found), (east == F.col("_e")) & (north == F.col("_n")), "left").drop("_e", "_n")
         work = _look_up(self._started(points, xy), self.lists, self.split, self.depth, self.reach,
                         self.reach, self.row_limit)
         return self._finished(work, points, distance)

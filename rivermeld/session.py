@@ -61,6 +61,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows_per_task: int, *keys: str) -> DataFrame:
+    """Partition a counted frame for heavy work per row.
+
+    Adaptive execution sizes partitions by bytes and would put few but expensive rows into one task.
+    """
+    tasks = max(-(-df.count() // rows_per_task), 1)
+    return df.repartition(tasks, *keys) if keys else df.repartition(tasks)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a bounded count proves the side small; else leave the choice to AQE."""
     if df.limit(max_rows + 1).count() <= max_rows:
