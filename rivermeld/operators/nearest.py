@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.session import BROADCAST_ROWS, spread, written
+from rivermeld.session import BROADCAST_ROWS, broadcast_if_small, spread, written
 
 LIST_TARGET = 128
 PARTS = 4
@@ -270,16 +270,23 @@ def nearest_join(
         levels = max(math.ceil(math.log(span / first_reach, PARTS)), 0)
     index = index_places(places, place_id, carry, float(first_reach), origin=origin, list_target=list_target,
                          broadcast_rows=broadcast_rows)
-    work = _look_up(index._started(points, xy), index.lists, index.split, index.depth, index.reach, index.reach,
-                    index.row_limit)
-    left_over = work.where(F.col("best").isNull() & F.col("usable"))
-    occupied = written(left_over.select(_cell(F.col("px"), index.reach).alias("cx"),
-                                        _cell(F.col("py"), index.reach).alias("cy")).distinct(), "cells")
+    east, north = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
+    spots = written(points.select(east.alias("_e"), north.alias("_n")).where(
+        ~F.isnan("_e") & ~F.isnan("_n")).distinct(), "positions")
+    close = index.attach(spread(spots, POINTS_PER_TASK), ("_e", "_n"), distance, repeated=False)
+    close = written(close, "close-places")
+    left_over = close.where(F.col(distance).isNull()).select("_e", "_n")
+    moved = index._started(left_over, ("_e", "_n"))
+    occupied = written(moved.select(_cell(F.col("px"), index.reach).alias("cx"),
+                                    _cell(F.col("py"), index.reach).alias("cy")).distinct(), "cells")
+    found = close
     if not occupied.isEmpty():
         far = _far_pairs(index.spots, occupied, index.reach, levels)
         lists, split, depth = _candidate_lists(far, index.reach, ANY_DISTANCE, list_target)
-        work = _look_up(work, lists, split, depth, index.reach, ANY_DISTANCE, index.row_limit)
-    return index._finished(work, points, distance)
+        looked = _look_up(moved, lists, split, depth, index.reach, ANY_DISTANCE, index.row_limit)
+        found = close.where(F.col(distance).isNotNull()).unionByName(index._finished(looked, left_over, distance))
+    found = broadcast_if_small(found, POSITION_ROWS)
+    return points.join(found, (east == F.col("_e")) & (north == F.col("_n")), "left").drop("_e", "_n")
 
 
 def nearest_by_degrees(points: DataFrame, lat: float, lon: float, key: str) -> DataFrame:
