@@ -288,13 +288,25 @@ def fold_importance(t: Inputs) -> DataFrame:
     return learning.cross_validate(folded_vectors(t), NAMES, "rf", **FOREST).feature_importance()
 
 
-@query("m8_m9_s21_saved_model_scores_matrix")
+TWO_CLASSES = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
+  SELECT fww_id, wb_id FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
+    AND phosphate_mid IS NOT NULL AND wfd_status IN ('Moderate', 'Poor'))""")
+
+
+@query("m8_m9_s21_saved_model_scores_every_row_once", TWO_CLASSES + """
+SELECT fww_id, wb_id, 'rf_model' AS model_version, 'historical' AS data_source, TRUE AS chances_add_up,
+       TRUE AS larger_chance_wins FROM rows_used""")
 def saved_model_scores(t: Inputs) -> DataFrame:
     rows = training_matrix(t)
     models = ModelStore(t.spark, new_folder(t.spark, "models"))
     models.save(learning.train_final(rows, FEATURES, "rf", **FOREST), "rf", AS_OF)
     scored = learning.score(models.load("rf"), rows, FEATURES)
-    return learning.prediction_rows(scored, "rf_model", "historical", AS_OF)
+    rows = learning.prediction_rows(scored, "rf_model", "historical", AS_OF)
+    poor = F.col("prob_poor") > F.col("prob_moderate")
+    wins = (F.col("prob_poor") == F.col("prob_moderate")) | (poor == (F.col("predicted_status") == "Poor"))
+    return rows.select("fww_id", "wb_id", "model_version", "data_source",
+                       (F.abs(F.col("prob_poor") + F.col("prob_moderate") - 1) < 2e-4).alias("chances_add_up"),
+                       wins.alias("larger_chance_wins"))
 
 
 @query("m10_w6_model_comparison")
@@ -311,11 +323,17 @@ def ablation(t: Inputs) -> DataFrame:
     return training.ablation(folded_vectors(t), "rf", sets, **FOREST)
 
 
-@query("m12_oversampled_rows")
+@query("m12_oversampled_rows", """
+WITH c AS (SELECT COUNT(*) FILTER (label >= 7) AS poor, COUNT(*) FILTER (label < 7) AS moderate FROM embeddings)
+SELECT 'Moderate' AS wfd_status, FALSE AS synthetic, moderate AS n, TRUE AS inside FROM c
+UNION ALL SELECT 'Poor', FALSE, poor, TRUE FROM c UNION ALL SELECT 'Poor', TRUE, moderate - poor, TRUE FROM c""")
 def oversampled_rows(t: Inputs) -> DataFrame:
+    """Class sizes after oversampling, and whether all rows stay within the span of the real rows."""
     rows, _ = learning.prepared(vector_rows(t), NAMES)
-    return oversample(rows, NAMES).groupBy("wfd_status", F.contains("fww_id", F.lit("+")).alias("synthetic")).agg(
-        F.count("*").alias("n"), F.avg("f0").alias("mean_f0"))
+    span = rows.groupBy("wfd_status").agg(F.min("f0").alias("low"), F.max("f0").alias("high"))
+    grown = oversample(rows, NAMES).join(span, "wfd_status")
+    return grown.groupBy("wfd_status", F.contains("fww_id", F.lit("+")).alias("synthetic")).agg(
+        F.count("*").alias("n"), F.bool_and(F.col("f0").between(F.col("low"), F.col("high"))).alias("inside"))
 
 
 @query("m12_e10_oversampled_forest")
@@ -332,7 +350,13 @@ def feature_test(t: Inputs) -> DataFrame:
     return training.feature_test(folded_vectors(t), "f3", NAMES, "rf", **FOREST)
 
 
-@query("m14_retraining_job")
+@query("m14_retraining_job", TWO_CLASSES + """
+SELECT table_name, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'feat_matrix' AS table_name, (SELECT COUNT(*) FROM rows_used) AS n
+  UNION ALL SELECT 'predictions', (SELECT COUNT(*) FROM rows_used)
+  UNION ALL SELECT 'model_metrics', 5 UNION ALL SELECT 'ingestion_log', 2
+  UNION ALL SELECT UNNEST(['staging_fww', 'staging_wfd', 'staging_wfd_snapshot', 'staging_edm_historical',
+    'staging_edm_historical_snapshot', 'staging_edm_live', 'staging_lc', 'staging_lc_snapshot']), 0)""")
 def retraining(t: Inputs) -> DataFrame:
     store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
     store.replace("feat_matrix", training_matrix(t), AS_OF)

@@ -106,7 +106,13 @@ def rolling(t: Inputs) -> DataFrame:
     return live.rolling_features(t.edm_live, chosen, AS_OF, 20)
 
 
-@query("t4_t7_batch_refresh_and_log")
+@query("t4_t7_batch_refresh_and_log", ctes(["readings", "waterbodies", "edm_live"], RIVERS, MATCHED) + """,
+n AS (SELECT COUNT(*) AS n FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
+        AND phosphate_mid IS NOT NULL AND wfd_status IN ('Moderate', 'Poor') AND wb_id IN (SELECT wb_id FROM edm_live))
+SELECT '2024-01-01 00:00:00' AS run_at, 'live_inference' AS source, 'no_new_data' AS status,
+       CAST(0 AS BIGINT) AS records_fetched, CAST(0 AS BIGINT) AS records_new
+UNION ALL SELECT '2024-01-31 00:00:00', 'live_inference', 'success', n, n FROM n
+UNION ALL SELECT '2024-02-01 00:00:00', 'live_inference', 'no_new_data', 0, 0""")
 def batch_refresh(t: Inputs) -> DataFrame:
     store = matrix_store(t)
     model = small_model(store)

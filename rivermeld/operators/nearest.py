@@ -20,7 +20,7 @@ LIST_TARGET = 128
 PARTS = 4
 MAX_DEPTH = 5
 SALTS = 16
-POSITION_ROWS = 2_000_000
+POSITION_ROWS = 1_000_000
 POINTS_PER_TASK = 4_000
 SLACK_M2 = 1e-3
 ANY_DISTANCE = 1e12
@@ -198,7 +198,10 @@ class PlaceIndex:
                 east.isNotNull() & north.isNotNull()).distinct(), "positions")
             if _few(spots, POSITION_ROWS):
                 found = self.attach(spread(spots, POINTS_PER_TASK), ("_e", "_n"), distance, repeated=False)
-                return points.join(F.broadcast(found), (east == F.col("_e")) & (north == F.col("_n")), "left").drop("_e", "_n")
+                # Written once, so filters on the result are not pushed into the list scans.
+                found = written(found, "found-places")
+                return points.join(F.broadcast(found), (east == F.col("_e")) & (north == F.col("_n")),
+                                   "left").drop("_e", "_n")
         work = _look_up(self._started(points, xy), self.lists, self.split, self.depth, self.reach,
                         self.reach, self.row_limit)
         return self._finished(work, points, distance)
