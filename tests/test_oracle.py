@@ -1,4 +1,7 @@
-"""Every registered query with oracle SQL equals it on the smallest tables."""
+"""Registered queries equal their oracle SQL on the smallest tables.
+
+The slow model and stream jobs have tests of their own; `python tests/oracle.py` runs everything.
+"""
 
 import os
 
@@ -9,6 +12,8 @@ from oracle import compare, connect
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 SQL = entry_point.oracle_sql()
+SLOW = {"m14_retraining_job", "m8_m9_s21_saved_model_scores_every_row_once", "m12_oversampled_rows",
+        "t4_t7_batch_refresh_and_log", "x1_additivity_of_shap_values"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +21,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
 def test_equals_oracle(spark, duck, name):
     ok, note = compare(spark, duck, name, entry_point.queries()[name], SQL[name], SF_DIR)
     assert ok, note
