@@ -105,10 +105,10 @@ def feature_matrix(t: Inputs) -> DataFrame:
 
 
 @query("j6_u3_u6_stored_or_missing_land_cover", ctes(["readings"]) + """
-SELECT fww_id, CASE WHEN CAST(fww_id AS BIGINT) % 3 = 0 THEN 'missing' ELSE 'stored' END AS land_cover
+SELECT fww_id, CASE WHEN fww_rating IN ('Good', 'Poor') THEN 'stored' ELSE 'missing' END AS land_cover
 FROM readings""")
 def land_cover_split(t: Inputs) -> DataFrame:
-    stored = t.readings.where("CAST(fww_id AS BIGINT) % 3 <> 0").select("fww_id")
+    stored = t.readings.where("fww_rating IN ('Good', 'Poor')").select("fww_id")
     has, lacks = matrix.split_land_cover(t.readings.select("fww_id"), stored)
     return has.withColumn("land_cover", F.lit("stored")).unionByName(
         lacks.withColumn("land_cover", F.lit("missing")))

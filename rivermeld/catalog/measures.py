@@ -24,14 +24,15 @@ def vector_long(t: Inputs) -> DataFrame:
         F.col("vec_id").cast("string").alias("fww_id"), "label", F.posexplode("embedding").alias("pos", "component"),
     ).select("fww_id", "label", F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature"),
              F.col("component").cast("double").alias("shap"),
-             (F.col("component").cast("double") * (F.col("pos") % 5 - 2)).alias("value"))
+             (F.col("component").cast("double") * F.col("component").cast("double")
+              * (F.col("pos") % 3 - F.lit(1.5))).alias("value"))
 
 
 VECTOR_LONG = """vectors AS (
   SELECT CAST(vec_id AS STRING) AS fww_id, label, pos, CAST(embedding[pos + 1] AS DOUBLE) AS shap
   FROM embeddings, (SELECT UNNEST(range(64)) AS pos)),
 shap_long AS (SELECT fww_id, label, 'f' || CAST(pos AS STRING) AS feature, shap,
-                     shap * (pos % 5 - 2) AS value FROM vectors)"""
+                     shap * shap * (pos % 3 - CAST(1.5 AS DOUBLE)) AS value FROM vectors)"""
 
 
 @query("a1_u2_returns_per_waterbody", ctes(["edm_returns"], RETURNS) + """
@@ -357,12 +358,10 @@ def top_factors(t: Inputs) -> DataFrame:
 
 
 @query("o6_e8_by_absolute_correlation", f"WITH {VECTOR_LONG}" + """,
-c AS (SELECT feature, CORR(value, shap) AS corr FROM shap_long WHERE feature NOT IN
-        (SELECT 'f' || CAST(2 + 5 * i AS STRING) FROM (SELECT UNNEST(range(13)) AS i)) GROUP BY feature)
+c AS (SELECT feature, CORR(value, shap) AS corr FROM shap_long GROUP BY feature)
 SELECT feature, ROUND(corr, 6) AS corr FROM c ORDER BY ABS(corr) DESC""")
 def by_absolute_correlation(t: Inputs) -> DataFrame:
-    moving = vector_long(t).where("CAST(SUBSTRING(feature, 2) AS INT) % 5 <> 2")
-    corr = stats.correlation(moving, "value", "shap", ["feature"])
+    corr = stats.correlation(vector_long(t), "value", "shap", ["feature"])
     return corr.select("feature", F.round("corr", 6).alias("corr")).orderBy(F.abs("corr").desc())
 
 

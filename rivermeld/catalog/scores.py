@@ -128,11 +128,9 @@ def kappa(t: Inputs) -> DataFrame:
 
 
 @query("e8_correlation_by_feature", f"WITH {VECTOR_LONG}" + """
-SELECT feature, ROUND(CORR(value, label), 6) AS corr FROM shap_long
-WHERE feature NOT IN (SELECT 'f' || CAST(2 + 5 * i AS STRING) FROM (SELECT UNNEST(range(13)) AS i)) GROUP BY feature""")
+SELECT feature, ROUND(CORR(value, label), 6) AS corr FROM shap_long GROUP BY feature""")
 def correlation_by_feature(t: Inputs) -> DataFrame:
-    moving = vector_long(t).where("CAST(SUBSTRING(feature, 2) AS INT) % 5 <> 2")
-    return stats.correlation(moving, "value", "label", ["feature"]).select("feature", F.round("corr", 6).alias("corr"))
+    return stats.correlation(vector_long(t), "value", "label", ["feature"]).select("feature", F.round("corr", 6).alias("corr"))
 
 
 FOLD_IMPORTANCE = f"""{VECTOR_LONG},
@@ -152,7 +150,7 @@ def fold_rank_stability(t: Inputs) -> DataFrame:
     return explain.fold_stability(importance).withColumn("mean_spearman", F.round("mean_spearman", 9))
 
 
-def vector_rows(t: Inputs, width: int = 12) -> DataFrame:
+def vector_rows(t: Inputs, width: int = 64) -> DataFrame:
     """Vectors as labelled feature rows with positions, for the model queries."""
     return t.table("embeddings").select(
         F.col("vec_id").cast("string").alias("fww_id"),
@@ -161,19 +159,17 @@ def vector_rows(t: Inputs, width: int = 12) -> DataFrame:
         F.col("embedding")[0].cast("double").alias("easting"), F.col("embedding")[1].cast("double").alias("northing"))
 
 
-NAMES = [f"f{i}" for i in range(12)]
+NAMES = [f"f{i}" for i in range(64)]
 
 
 @query("e11_direction_reliability", f"WITH {VECTOR_LONG}" + """,
-c AS (SELECT feature, CORR(value, label) AS r FROM shap_long WHERE feature IN ('f0', 'f1', 'f3', 'f4', 'f5', 'f6', 'f8') GROUP BY feature),
+c AS (SELECT feature, CORR(value, label) AS r FROM shap_long GROUP BY feature),
 m AS (SELECT feature, AVG(shap) FILTER (label < 7) AS mm, AVG(shap) FILTER (label >= 7) AS pm FROM shap_long GROUP BY feature)
 SELECT c.feature, ROUND(r, 6) AS shap_corr, (r > 0) = (pm > mm) AS directions_agree, ABS(r) >= 0.05 AS strong_enough,
        (r > 0) = (pm > mm) AND ABS(r) >= 0.05 AS reliable FROM c JOIN m ON c.feature = m.feature""")
 def direction_reliability(t: Inputs) -> DataFrame:
-    names = ["f0", "f1", "f3", "f4", "f5", "f6", "f8"]
-    shap = vector_long(t).where(F.col("feature").isin(names)).select(
-        "feature", "value", F.col("label").cast("double").alias("shap"))
-    result = stats.direction_reliability(shap, vector_rows(t), names, 0.05)
+    shap = vector_long(t).select("feature", "value", F.col("label").cast("double").alias("shap"))
+    result = stats.direction_reliability(shap, vector_rows(t), NAMES, 0.05)
     return result.select("feature", F.round("shap_corr", 6).alias("shap_corr"), "directions_agree", "strong_enough", "reliable")
 
 
@@ -280,7 +276,7 @@ def boosted_cv(t: Inputs) -> DataFrame:
 
 @query("m5_logistic_cross_validation")
 def logistic_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "logreg").pooled()
+    return learning.cross_validate(folded_vectors(t), NAMES, "logreg", **SMALL["logreg"]).pooled()
 
 
 @query("m7_fold_importance")
@@ -319,7 +315,7 @@ def model_comparison(t: Inputs) -> DataFrame:
 
 @query("m11_w3_s20_ablation")
 def ablation(t: Inputs) -> DataFrame:
-    sets = {"first": NAMES[:2], "second": NAMES[:5], "all": NAMES}
+    sets = {"first": NAMES[:8], "second": NAMES[:24], "all": NAMES}
     return training.ablation(folded_vectors(t), "rf", sets, **FOREST)
 
 
@@ -361,14 +357,14 @@ def retraining(t: Inputs) -> DataFrame:
     store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
     store.replace("feat_matrix", training_matrix(t), AS_OF)
     models = ModelStore(t.spark, new_folder(t.spark, "models"))
-    training.retrain(store, models, AS_OF, "logreg")
+    training.retrain(store, models, AS_OF, "logreg", maxIter=100)
     training.score_history(store, models, AS_OF, "logreg")
     return store.row_counts()
 
 
 @query("m15_x8_seed_stability")
 def seed_stability(t: Inputs) -> DataFrame:
-    checks = training.seed_stability(folded_vectors(t), NAMES[:6], [1, 2], numTrees=5, maxDepth=4)
+    checks = training.seed_stability(folded_vectors(t), NAMES, [1, 2], numTrees=5, maxDepth=4)
     return checks["spread"].withColumn("row", F.lit(1)).join(
         checks["agreement"].withColumn("row", F.lit(1)), "row").drop("row")
 

@@ -83,11 +83,14 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
     )
 
 
-def with_global_number(df: DataFrame, order: list[str], name: str = "row_no", slices: int = 64) -> DataFrame:
+def with_global_number(df: DataFrame, order: list[str], name: str = "row_no",
+                       slice_rows: int = 500_000) -> DataFrame:
     """Row numbers 0, 1, 2, ... over the whole frame without one global sort task.
 
-    Rows are spread over hashed slices, numbered inside their slice, and shifted by the slices before.
+    Rows are spread over hashed slices of about `slice_rows`, numbered inside their slice, and shifted by
+    the slices before.
     """
+    slices = max(-(-df.count() // slice_rows), 1)
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     # One row per slice, so this window has a fixed number of rows.

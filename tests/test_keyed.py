@@ -40,7 +40,7 @@ def test_previous_row_across_slices_of_a_hot_key(spark):
 
 def test_global_numbers_are_complete(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("id"))
-    numbers = sorted(r["row_no"] for r in keyed.with_global_number(df, ["id"], slices=7).collect())
+    numbers = sorted(r["row_no"] for r in keyed.with_global_number(df, ["id"], slice_rows=140).collect())
     assert numbers == list(range(1000))
 
 
