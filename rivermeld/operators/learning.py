@@ -194,7 +194,8 @@ def cross_validate(df: DataFrame, features: list[str] | None = None, kind: str =
     def one(fold: int) -> tuple[int, PipelineModel]:
         train = rows.where(F.col("fold") != fold)
         if resample is not None:
-            train = resample(train, features)
+            # Fitting reads its input many times, so new rows are made once and written.
+            train = written(resample(train, features), "resampled")
         model = fit_model(train, features, kind, labels, total - sizes[fold], balance=resample is None, **changes)
         return fold, model
 
