@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _fallback_folder: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -30,6 +32,18 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that jobs run from any working folder."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="run-"), "rivermeld"), "zip",
+                                  os.path.dirname(top), os.path.basename(top))
+    context.addPyFile(archive)  # Spark's own file service hands it to every executor
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
