@@ -93,7 +93,9 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
     n = F.size(F.col(w))
     b, k = free_name(docs, "bits_"), free_name(docs, "mask_")
     bits, mask = F.col(b), F.col(k)
-    every = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    # A text of fewer than three words has one window with nulls, which repeats nothing. No element can be null: only
+    # then are the hashes sorted as plain longs.
+    every = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
     start = docs.withColumn(t, whole(text))
     start = start.withColumn(w, words_of(F.col(t))).withColumn(
         lines, F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(f"[^{SPACE_CLASS[1:]}")))
