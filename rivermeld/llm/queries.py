@@ -1,6 +1,6 @@
 """All queries of this subpackage with their SQL."""
 
-from rivermeld.llm import quality_rules  # noqa: F401
+from rivermeld.llm import license_scan, line_dedup, quality_rules, secret_scan  # noqa: F401
 from rivermeld.llm.shared import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
