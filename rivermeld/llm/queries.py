@@ -1,6 +1,16 @@
 """All queries of this subpackage with their SQL."""
 
-from rivermeld.llm import license_scan, line_dedup, quality_rules, secret_scan  # noqa: F401
+from rivermeld.llm import (  # noqa: F401
+    decontamination,
+    html_text,
+    license_scan,
+    line_dedup,
+    near_duplicates,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_files,
+)
 from rivermeld.llm.shared import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
