@@ -263,13 +263,13 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_row
 
 
 def clean(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
-    """One document of every group: the rows of `docs` that are kept; the columns stay. Rows equal in identifier and text are kept once."""
+    """One document of every group: the rows of `docs` that are kept; the columns stay. Of rows equal in identifier and text one stays."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keep = near_duplicates(narrow, banding).where("kept").select("f1", "f2").distinct()
     names = docs.columns
     parts = [F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")) for seed in (1, 2)]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), parts[0].alias("f1"), parts[1].alias("f2"))
-    return held.join(keep, ["f1", "f2"], "left_semi").select(*[F.col("row")[c].alias(c) for c in names])
+    return held.join(keep, ["f1", "f2"], "left_semi").dropDuplicates(["f1", "f2"]).select(*[F.col("row")[c].alias(c) for c in names])
 
 
 @query("op5_minhash_near_dedup")
