@@ -7,6 +7,7 @@ from rivermeld.llm import (  # noqa: F401
     line_dedup,
     near_duplicates,
     packing,
+    quality_classifier,
     quality_rules,
     secret_scan,
     token_files,
