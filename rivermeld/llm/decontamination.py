@@ -184,7 +184,7 @@ def _scanner(spark: SparkSession, block: DataFrame, window: int):
                 rows.append((len(words), [{"a": a, "b": b} for a, b in spans], list(found)))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return scan
+    return scan.asNondeterministic()  # so that no filter has it run twice
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -204,7 +204,7 @@ def _without(text: Column, spans: Column) -> Column:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return cut(text, spans)
+    return cut.asNondeterministic()(text, spans)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, str]:

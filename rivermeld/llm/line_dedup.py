@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rivermeld.llm.shared import SPACES, free_name, query, spaced, table, whole
+from rivermeld.llm.shared import SPACES, free_name, query, settled, spaced, table, whole
 from rivermeld.session import written
 
 
@@ -64,6 +64,8 @@ def repeats(lines: DataFrame) -> DataFrame:
     spans = lines.groupBy("h1", "h2").agg(
         F.min("f1").alias("a"), F.max("f1").alias("b"), F.min("site_").alias("s"), F.max("site_").alias("t"), F.min("id_").alias("keeper"))
     several = spans.where("a <> b").select("h1", "h2", (F.col("s") != F.col("t")).alias("wide"), "keeper")
+    # Written, so that the join deals out both sides itself and can split the rows of a very common line.
+    several = written(several, "lines-in-several")
     return lines.join(several, ["h1", "h2"]).select(
         "f1", "f2", "k", "h1", "h2", "site_", "words", "wide", (F.col("id_") == F.col("keeper")).alias("first"))
 
@@ -125,8 +127,9 @@ def clean(docs: DataFrame, site: str = "source", spread: Spread = Spread()) -> D
     """Documents without their repeated lines; documents that lost all their lines go; the columns stay."""
     out, name = without_repeats(docs, site, spread)
     lines = F.col(name)
-    out = out.where((lines["n_removed"] == 0) | (lines["n_removed"] < lines["n_lines"])).withColumn(
-        "text", lines["rest"])
+    passes = free_name(out, "passes")
+    some = (lines["n_removed"] == 0) | (lines["n_removed"] < lines["n_lines"])
+    out = out.withColumn(passes, settled(some)).where(passes).withColumn("text", lines["rest"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lines["n_removed"] > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.llm.shared import SPACE_CLASS, SPACES, free_name, query, spaced, table, whole, words_of
+from rivermeld.llm.shared import SPACE_CLASS, SPACES, free_name, query, settled, spaced, table, whole, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -133,8 +133,8 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Documents that pass, with their failing lines removed and n_chars counted again; the columns stay as they are."""
-    name = free_name(docs, "verdict")
-    kept = judged(docs, "text", rules).where(F.col(name)["kept"])
+    name, passes = free_name(docs, "verdict"), free_name(docs, "passes")
+    kept = judged(docs, "text", rules).withColumn(passes, settled(F.col(name)["kept"])).where(passes)
     out = kept.withColumn("text", F.col(name)["cleaned"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

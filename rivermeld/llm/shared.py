@@ -58,6 +58,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def settled(condition: Column) -> Column:
+    """The condition, computed where it stands: Catalyst moves no filter below a row number.
+
+    Moved down, a filter over array expressions would have them computed again inside their own lambdas.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def running_starts(counts: DataFrame, order: str, count: str, start: str, block: int = 1000) -> DataFrame:
     """Add to one row per shard the sum of `count` over the shards before it, in ascending `order` (0, 1, 2, ...).
 
