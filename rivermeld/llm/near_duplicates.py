@@ -7,8 +7,8 @@ several documents have are combined.
 
 Documents with equal shingle sets are one node from the start. Candidates are verified on their full shingle
 sets, in rounds that never list all pairs of a bucket: first every node against its best bucket representative, then against its
-other representatives, and last, in buckets that still hold several components, the nodes outside the bucket's largest
-component against the rest. Linked nodes of one component need no further test, as only components are asked for.
+other representatives, and last, where a half key still joins several components, the nodes outside the largest of
+them against the rest. Linked nodes of one component need no further test, as only components are asked for.
 
 Tables between steps lie in the shared folder; nothing but counts and the end of each loop is seen by the driver.
 
@@ -34,12 +34,16 @@ LAST = 2**63 - 1
 
 @dataclass(frozen=True)
 class Banding:
-    """`halves` half keys in each of the two collections, of `width` minhashes each; links need `percent` similarity."""
+    """`halves` half keys in each of the two collections, of `width` minhashes each; links need `percent` similarity.
+
+    Pairs of which fewer than `agreeing` of all half keys are equal are not verified.
+    """
 
     words: int = 5
     percent: int = 85
     halves: int = 14
     width: int = 3
+    agreeing: int = 5
     seed: int = 7
 
 
@@ -201,37 +205,61 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
 
 
+def _alike(x: Column, y: Column, banding: Banding) -> Column:
+    """Whether enough half keys are equal; a link at the threshold has fewer about once in three million."""
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) >= banding.agreeing
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, banding: Banding, broadcast_rows: int) -> DataFrame:
     """node, root of the nodes that have candidates."""
     buckets = bucket_keys(nodes.select("node", "n", "halves"), banding)
     members = buckets.select("node").distinct()
-    wanted = written(nodes.select("node", "f1", "f2").join(members, "node", "left_semi"), "candidates")
+    wanted = written(nodes.select("node", "f1", "f2", "n", "halves").join(members, "node", "left_semi"), "candidates")
     sets = _sets(docs, wanted, banding, broadcast_rows)
     labels = written(wanted.select("node", F.col("node").alias("root")), "labels")
 
-    # Round 1 and 2: against the representative of each bucket. Mixing node and key draws another one for each key.
-    drawn = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("drawn")).select(
-        "key", F.col("drawn").bitwiseXOR(F.col("key")).alias("b"))
-    sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    against = buckets.join(drawn, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b", "n").agg(F.count(F.lit(1)).alias("shared"))
+    # Round 1 and 2: against the representatives of each bucket, its first and last node. One order for all buckets
+    # keeps the different representatives of a node few.
+    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    ends = ends.select("key", F.explode(F.array("low", "high")).alias("b"))
+    sizes = wanted.select(F.col("node").alias("b"), F.col("n").alias("m"))
+    against = buckets.join(ends, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b", "n").agg(F.count(F.lit(1)).alias("shared"))
     # The more tables two nodes share the likelier they are linked: one best representative per node goes first.
     stars = written(against.join(sizes, "b").where(_possible(banding)).select("a", "b", "shared"), "star-pairs")
     best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best")["b"].alias("b"))
     labels = _merged(labels, written(verified(best, sets, banding), "links"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    open_ = _across(tested, labels)
+    halves = wanted.select("node", "halves")
+    open_ = _across(tested, labels).join(halves.withColumnsRenamed({"node": "a", "halves": "x"}), "a").join(
+        halves.withColumnsRenamed({"node": "b", "halves": "y"}), "b").where(_alike(F.col("x"), F.col("y"), banding)).select("a", "b")
     labels = _merged(labels, written(verified(open_, sets, banding), "links"))
 
-    # Round 3: buckets that still hold several components, without the pairs of rounds 1 and 2.
-    named = buckets.join(labels, "node")
-    counts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where(
-        "roots > 1").select("key", F.col("top")["root"].alias("top"))
-    mixed = written(named.join(largest, "key").select("key", "node", "n", "root", (F.col("root") != F.col("top")).alias("outside")), "mixed")
-    others = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("outside").alias("ob"))
-    facing = mixed.where("outside").join(others, "key").where(F.col("root") != F.col("rb")).where(
-        ~F.col("ob") | (F.col("node") < F.col("b"))).where(_possible(banding))
-    last = facing.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    # Round 3, for what lies in one bucket but in several components: each pair once, in the first half key of the first
+    # collection that both have, if the second collection agrees somewhere too. Nodes outside the largest component
+    # of a bucket meet the rest of it; nodes of one component never meet.
+    first = wanted.join(labels, "node").select("node", "n", "root", "halves", F.posexplode(F.slice("halves", 1, banding.halves)).alias("place", "half"))
+    counts = first.groupBy("half", "root").agg(F.count(F.lit(1)).alias("times"))
+    largest = counts.groupBy("half").agg(F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where(
+        "roots > 1").select("half", F.col("top")["root"].alias("top"))
+    mixed = written(first.join(largest, "half").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "mixed")
+    # A shingle that no other of these nodes has is in no intersection, so what a node shares bounds its similarities.
+    # Nodes that can have no link leave, and the second look counts without them.
+    for _ in range(2):
+        owned = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+        lone = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
+        lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+        mixed = mixed.drop("shared").join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+        mixed = written(mixed.where(100 * F.col("shared") >= banding.percent * F.col("n")), "mixed")
+    others = mixed.select("half", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "halves", "outside", "shared")])
+    able = (100 + banding.percent) * F.least("shared", "o_shared") >= banding.percent * (F.col("n") + F.col("o_n"))
+    side = banding.halves
+    earlier = F.arrays_overlap(F.array(F.lit(True)), F.zip_with(
+        F.slice("halves", F.lit(1), F.col("place")), F.slice("o_halves", F.lit(1), F.col("place")), lambda p, q: p == q))
+    second = F.arrays_overlap(F.slice("halves", side + 1, side), F.slice("o_halves", side + 1, side))
+    facing = mixed.where("outside").join(others, (
+        (mixed["half"] == others["half"]) & (F.col("root") != F.col("o_root")) & (~F.col("o_outside") | (F.col("node") < F.col("o_node")))
+        & able & ~earlier & second & _alike(F.col("halves"), F.col("o_halves"), banding)))
+    last = facing.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
     last = written(last.join(tested, ["a", "b"], "left_anti"), "last-pairs")
     return _merged(labels, written(verified(last, sets, banding), "links"))
 
