@@ -53,7 +53,7 @@ def assign_folds(df: DataFrame, centres: list[tuple[float, float]]) -> DataFrame
 
 
 def spatial_folds(df: DataFrame, folds: int = FOLDS, seed: int = SEED, restarts: int = 10) -> DataFrame:
-    return assign_folds(df, fold_centres(df, folds, seed, restarts))
+    return assign_folds(df, fold_centres(df.na.drop(subset=["easting", "northing"]), folds, seed, restarts))
 
 
 # ---- models --------------------------------------------------------------------------------------
@@ -185,7 +185,8 @@ def cross_validate(df: DataFrame, features: list[str] | None = None, kind: str =
     """
     features = features or FEATURES
     shared_folder(df.sparkSession)  # boosted trees cut their lineage in the checkpoint folder
-    rows, labels = prepared(df, features)
+    # Rows without a position have no fold and can be neither trained on nor tested.
+    rows, labels = prepared(df.where(F.col("fold").isNotNull()), features)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     # One row per fold.
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
@@ -232,14 +233,15 @@ def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None
     labels = model_labels(model)
     probability = vector_to_array("probability")
 
-    def chance(label: str, fallback: int) -> Column:
-        at = labels.index(label) if label in labels else fallback
-        return F.round(F.get(probability, F.lit(at)), 4)
+    def chance(label: str) -> Column:
+        if label not in labels:  # a class the model never saw has no probability
+            return F.lit(None).cast("double")
+        return F.round(F.get(probability, F.lit(labels.index(label))), 4)
 
     scored = model.transform(filled_features(df, features))
     return scored.select(
         *df.columns, F.col("predicted").alias("predicted_status"),
-        chance("Moderate", 0).alias("prob_moderate"), chance("Poor", 1).alias("prob_poor"))
+        chance("Moderate").alias("prob_moderate"), chance("Poor").alias("prob_poor"))
 
 
 def prediction_rows(scored: DataFrame, version: str, source: str, as_of: str) -> DataFrame:

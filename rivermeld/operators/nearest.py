@@ -126,7 +126,7 @@ def _cell_at(depth: Column, size: float) -> dict[str, Column]:
 
 
 def _few(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
 
 
 def _look_up(points: DataFrame, lists: DataFrame, split: DataFrame | None, depth: int, size: float,

@@ -11,6 +11,7 @@ from rivermeld.operators.matrix import (
 )
 from rivermeld.operators.sewage import attach_returns
 from rivermeld.plans.reports import last_success
+from rivermeld.session import written
 from rivermeld.settings import CHEMISTRY, LAND
 from rivermeld.sources.store import Warehouse
 
@@ -56,21 +57,34 @@ def rebuild(store: Warehouse, as_of: str, cells: DataFrame | None = None) -> Dat
     return rows
 
 
-def append_new(store: Warehouse, as_of: str, cells: DataFrame | None = None, since: str | None = None) -> int:
-    """Add readings received since the last successful run; a full rebuild when there was none."""
+def late_readings(readings: DataFrame, matrix: DataFrame, since: str, days: int) -> DataFrame:
+    """Readings with chemistry of the last `days` before the cutoff that are not in the matrix: stored after it was drawn."""
+    rows = readings.na.drop(subset=CHEMISTRY)
+    cutoff = F.lit(since).cast("timestamp")
+    at = F.col("received_at").cast("timestamp")
+    window = rows.where((at <= cutoff) & (at > cutoff - F.make_dt_interval(F.lit(days))))
+    return window.join(matrix.select("fww_id"), "fww_id", "left_anti").select(*rows.columns)
+
+
+def append_new(store: Warehouse, as_of: str, cells: DataFrame | None = None, since: str | None = None,
+               late_days: int = 7) -> int:
+    """Add readings received since the last successful run; a full rebuild when there was none.
+
+    Rows that were stored late, up to `late_days` before the cutoff, are added too.
+    """
     if since is None:
         since = last_success(store.read("ingestion_log"), "feature_engineering").first()["last_run"]
         if since is None:
             return rebuild(store, as_of, cells).count()
-    fresh = new_readings(store.read("staging_fww"), str(since))
+    readings = store.read("staging_fww")
+    fresh = written(new_readings(readings, str(since)).unionByName(
+        late_readings(readings, store.read("feat_matrix"), str(since), late_days)), "new-readings")
     if fresh.isEmpty():
         store.log_run("feature_engineering", 0, 0, "success", as_of)
         return 0
     stored = store.read("staging_lc")
     stored_land = stored.select("fww_id", *LAND) if store.exists("staging_lc") else None
     built = full_build(fresh, store.read("staging_wfd"), store.read("staging_edm_historical"), cells, stored_land)
-    before = store.read("feat_matrix").count()
-    store.extend("feat_matrix", built, as_of)
-    added = store.read("feat_matrix").count() - before
+    added = store.extend("feat_matrix", built, as_of)
     store.log_run("feature_engineering", added, added, "success", as_of)
     return added

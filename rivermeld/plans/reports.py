@@ -125,7 +125,7 @@ def metrics_summary(metrics: DataFrame) -> DataFrame:
 
 def recent_runs(log: DataFrame, k: int = 50) -> DataFrame:
     """Newest audit rows with a mark per status; a bounded top-k."""
-    newest = log.orderBy(F.desc("run_at")).limit(k)
+    newest = log.orderBy(F.desc("run_at"), *[F.asc(c) for c in sorted(log.columns) if c != "run_at"]).limit(k)
     return newest.withColumn("mark", run_mark("status"))
 
 

@@ -85,7 +85,7 @@ def spread(df: DataFrame, rows_per_task: int, *keys: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count proves the side small; else leave the choice to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+    """Hint a broadcast when a count proves the side small; else leave the choice to AQE."""
+    if df.count() <= max_rows:  # counted in all tasks; a limit would gather its rows in one
         return F.broadcast(df)
     return df

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from rivermeld.sources.schemas import TABLES
 
+#: Parts of a version after which they are written together.
+COMPACT = 50
+
 
 def at_time(as_of: str):
     return F.lit(as_of).cast("timestamp")
@@ -35,13 +38,23 @@ class Warehouse:
 
     def _finished(self, path: str, prefix: str) -> list[str]:
         """Names of child folders with the prefix whose write finished, in name order."""
+        files, marks = self._files(f"{path}/{prefix}*/_SUCCESS")
+        # One listing by pattern, whatever the number of folders.
+        return sorted(s.getPath().getParent().getName() for s in files.globStatus(marks) or [])
+
+    @staticmethod
+    def _version(folder: str) -> int:
+        """The number of a version folder; rows added later lie in folders named version=<number>.<part>."""
+        return int(folder.split("=")[1].split(".")[0])
+
+    def _current(self, path: str) -> list[str]:
+        """Folders of the newest version: the version itself and the parts added to it."""
+        folders = self._finished(path, "version=")
+        return [f for f in folders if self._version(f) == self._version(folders[-1])]
+
+    def _remove(self, path: str) -> None:
         files, target = self._files(path)
-        if not files.exists(target):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(target)]
-        done = [n for n in names if n.startswith(prefix) and
-                files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-        return sorted(done)
+        files.delete(target, True)
 
     def create_tables(self) -> None:
         """Make the folders of all tables; does nothing for those that exist."""
@@ -59,7 +72,7 @@ class Warehouse:
         entry = TABLES[name]
         path = f"{self.root}/{name}"
         if entry.mode == "replace":
-            chosen = self._finished(path, "version=")[-1:]
+            chosen = self._current(path)
         else:
             chosen = self._finished(path, "batch=")
         if not chosen:
@@ -71,7 +84,7 @@ class Warehouse:
         return rows.select(*entry.schema.names)
 
     def read_days(self, name: str, first: str, last: str) -> DataFrame:
-        """Rows of a day-partitioned table between two dates; other days are not listed or read."""
+        """Rows of a day-partitioned table between two dates; files of other days are not read."""
         entry = TABLES[name]
         path = f"{self.root}/{name}"
         schema = T.StructType([*entry.schema.fields, T.StructField("day", T.DateType())])
@@ -104,9 +117,9 @@ class Warehouse:
         entry = TABLES[name]
         rows = self._conform(name, df)
         if entry.day_of:
-            # Rows of one day from all tasks meet in a few files per day, spread over writers by hash.
-            rows = rows.withColumn("day", F.to_date(entry.day_of))
-            rows = rows.repartition("day", F.pmod(F.xxhash64(*entry.schema.names[:2]), F.lit(8)))
+            # Rows of one day from all tasks meet in files of the advised size: adaptive execution splits large days
+            # over as many writers as their bytes need and joins small ones.
+            rows = rows.withColumn("day", F.to_date(entry.day_of)).hint("rebalance", "day")
             rows.write.mode("overwrite").partitionBy("day").parquet(path)
         else:
             rows.write.mode("overwrite").parquet(path)
@@ -135,18 +148,50 @@ class Warehouse:
         if stamp:
             df = df.withColumn(stamp, at_time(as_of))
         versions = self._finished(f"{self.root}/{name}", "version=")
-        number = int(versions[-1].split("=")[1]) + 1 if versions else 0
+        number = self._version(versions[-1]) + 1 if versions else 0
         self._write(name, df, f"{self.root}/{name}/version={number:08d}")
 
-    def extend(self, name: str, df: DataFrame, as_of: str) -> None:
-        """Add rows to a replaced table: the new version is the old one and the new rows."""
+    def extend(self, name: str, df: DataFrame, as_of: str) -> int:
+        """Add rows to a replaced table and return their number.
+
+        Only the new rows are written, as a part of the current version; after `COMPACT` parts the version and its
+        parts become a new version.
+        """
         stamp = next((c for c in ("loaded_at", "recorded_at") if c in TABLES[name].schema.names), None)
         if stamp:
             df = df.withColumn(stamp, at_time(as_of))
-        grown = self.read(name).unionByName(self._conform(name, df))
-        versions = self._finished(f"{self.root}/{name}", "version=")
-        number = int(versions[-1].split("=")[1]) + 1 if versions else 0
-        self._write(name, grown, f"{self.root}/{name}/version={number:08d}")
+        path = f"{self.root}/{name}"
+        current = self._finished(path, "version=") and self._current(path)
+        if not current:
+            folder = f"{path}/version={0:08d}"
+        else:
+            folder = f"{path}/version={self._version(current[-1]):08d}.{len(current):06d}"
+        self._write(name, df, folder)
+        added = self.spark.read.schema(TABLES[name].schema).parquet(folder).count()
+        if len(current) >= COMPACT:
+            self._write(name, self.read(name), f"{path}/version={self._version(current[-1]) + 1:08d}")
+        return added
+
+    def prune(self, name: str, keep: int = 2) -> int:
+        """Remove all but the newest `keep` versions of a replaced table; returns how many folders went."""
+        path = f"{self.root}/{name}"
+        folders = self._finished(path, "version=")
+        numbers = sorted({self._version(f) for f in folders})[-keep:]
+        old = [f for f in folders if self._version(f) not in numbers]
+        for folder in old:
+            self._remove(f"{path}/{folder}")
+        return len(old)
+
+    def drop_days(self, name: str, before: str) -> int:
+        """Remove the day folders of a day-partitioned table that lie before a date; returns how many went."""
+        if not TABLES[name].day_of:
+            raise ValueError(f"{name} has no days")
+        files, days = self._files(f"{self.root}/{name}/batch=*/day=*")
+        found = [(s.getPath().getName().split("=")[1], s.getPath()) for s in files.globStatus(days) or []]
+        old = [at for day, at in found if day < before[:10]]  # days without a date sort behind all dates
+        for at in old:
+            files.delete(at, True)
+        return len(old)
 
     def retain_days(self, name: str, as_of: str, days: int) -> DataFrame:
         """Rows of the last `days` days of a day-partitioned table, as the retention run keeps them."""

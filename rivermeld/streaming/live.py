@@ -7,6 +7,8 @@ failure leaves no duplicates. Windowed summaries are queries of their own.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,17 +52,26 @@ def matched_feed(feed: DataFrame, index: PlaceIndex) -> DataFrame:
 
 
 def ingest(feed: DataFrame, index: PlaceIndex, store: Warehouse, checkpoint: str,
-           model: PipelineModel | None = None, names: list[str] | None = None) -> StreamingQuery:
-    """Start the live query on whatever has landed; it stops when all of it is processed."""
+           model: PipelineModel | None = None, names: list[str] | None = None, every: str | None = None) -> StreamingQuery:
+    """Start the live query. Without `every` it takes what has landed and stops; with it, it runs on at that interval
+    (`POLL` is the published one). An empty poll and a failing batch are logged as failed."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         key = f"stream-{batch_id:012d}"
+        try:
+            process(batch, key)
+        except Exception as error:
+            store.log_run("edm_live", 0, 0, "failed", now(), str(error)[:500], batch=f"edm-{key}")
+            raise
+
+    def process(batch: DataFrame, key: str) -> None:
         rows = matched_feed(batch, index)
         store.append("staging_edm_live", rows, batch=key)
         landed = store.read_batch("staging_edm_live", key)
         seen = landed.agg(F.count("*").alias("n"), F.count("wb_id").alias("matched"),
                           F.max("received_at").cast("string").alias("newest")).first()
         if seen["n"] == 0:
+            store.log_run("edm_live", 0, 0, "failed", now(), "the poll was empty", batch=f"edm-{key}")
             return
         store.log_run("edm_live", seen["n"], seen["matched"], "success", seen["newest"], batch=f"edm-{key}")
         if model is not None:
@@ -68,7 +79,11 @@ def ingest(feed: DataFrame, index: PlaceIndex, store: Warehouse, checkpoint: str
             refresh(store, model, seen["newest"], batch=key, touched=touched, names=names)
 
     return (feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**({"processingTime": every} if every else {"availableNow": True})).start())
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
 def polls(feed: DataFrame, lateness: str = LATENESS) -> DataFrame:
