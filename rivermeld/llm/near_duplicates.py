@@ -6,9 +6,8 @@ of either collection, which at the threshold fails to happen for about one link
 several documents have are combined.
 
 Documents with equal shingle sets are one node from the start. Candidates are verified on their full shingle
-sets, in rounds that never list all pairs of a bucket: first every node against its best bucket representative, then against its
-other representatives, and last, where a half key still joins several components, the nodes outside the largest of
-them against the rest. Linked nodes of one component need no further test, as only components are asked for.
+sets, in rounds that never list all pairs of a bucket: first every node against the representatives of its
+buckets, then, where a half key still joins several components, the nodes outside the largest of them against the rest. Linked nodes of one component need no further test, as only components are asked for.
 
 Tables between steps lie in the shared folder; nothing but counts and the end of each loop is seen by the driver.
 
@@ -31,6 +30,9 @@ from rivermeld.session import written
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LAST = 2**63 - 1
 
+#: Rows of two or three integers that a broadcast may have.
+BROADCAST_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class Banding:
@@ -142,15 +144,21 @@ def bucket_keys(nodes: DataFrame, banding: Banding) -> DataFrame:
     return written(held.join(several, "key", "left_semi").select("key", "node", "n"), "buckets")
 
 
+def _light(df: DataFrame) -> DataFrame:
+    """A written table of two integers a row, broadcast if its count proves it small, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root (least id reachable) for every id in `links` (a, b)."""
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "roots")
     before = None
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        stepped = labels.join(near, "id").select("id", F.least("root", "near").alias("root"))
-        jumped = stepped.join(labels.select(F.col("id").alias("root"), F.col("root").alias("above")), "root", "left").select(
+        known = _light(labels)
+        near = edges.join(known.select(F.col("id").alias("b"), "root"), "b").select(F.col("a").alias("id"), "root")
+        stepped = near.unionByName(labels).groupBy("id").agg(F.min("root").alias("root"))
+        jumped = stepped.join(known.select(F.col("id").alias("root"), F.col("root").alias("above")), "root", "left").select(
             "id", F.least("root", F.coalesce("above", "root")).alias("root"))
         labels = written(jumped, "roots")
         total = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
@@ -159,9 +167,25 @@ def components(links: DataFrame) -> DataFrame:
         before = total
 
 
-def _possible(banding: Banding, a: str = "n", b: str = "m") -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return (100 * F.least(a, b)) >= banding.percent * F.greatest(a, b)
+def _bounded(n: str, m: str, shared_n: str, shared_m: str, banding: Banding) -> Column:
+    """Whether sets of these sizes, that share so much with others, can be similar enough."""
+    return (100 + banding.percent) * F.least(shared_n, shared_m) >= banding.percent * (F.col(n) + F.col(m))
+
+
+def _able(a: str, b: str, banding: Banding) -> Column:
+    return _bounded(f"n_{a}", f"n_{b}", f"shared_{a}", f"shared_{b}", banding)
+
+
+def _shared(sets: DataFrame, nodes: DataFrame, banding: Banding) -> DataFrame:
+    """node, n, shared: how many shingles of a node some other of these nodes has; nodes that can have no link leave.
+
+    A shingle that no other node has is in no intersection, so `shared` bounds every similarity of the node.
+    """
+    owned = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    lone = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
+    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    counted = nodes.join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared"))
+    return written(counted.where(100 * F.col("shared") >= banding.percent * F.col("n")), "shared-counts")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, banding: Banding) -> DataFrame:
@@ -196,12 +220,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, banding: Banding, broadcast_rows: i
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """node, root after joining the components of linked nodes."""
-    ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
-        labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-    joined = written(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "component-links")
+    joined = written(_across(links, labels, "ra", "rb"), "component-links")
     if joined.isEmpty():
         return labels
-    roots = components(joined).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    roots = _light(components(joined)).select(F.col("id").alias("root"), F.col("root").alias("to"))
     return written(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
 
 
@@ -216,61 +238,53 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, banding: Banding, broadcast_
     members = buckets.select("node").distinct()
     wanted = written(nodes.select("node", "f1", "f2", "n", "halves").join(members, "node", "left_semi"), "candidates")
     sets = _sets(docs, wanted, banding, broadcast_rows)
-    labels = written(wanted.select("node", F.col("node").alias("root")), "labels")
+    sizes = _shared(sets, wanted.select("node", "n"), banding)
 
-    # Round 1 and 2: against the representatives of each bucket, its first and last node. One order for all buckets
-    # keeps the different representatives of a node few.
+    # Round 1: against the representatives of each bucket, its first and last node. One order for all buckets keeps
+    # the different representatives of a node few.
+    buckets = buckets.drop("n").join(_light(sizes), "node")
     ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     ends = ends.select("key", F.explode(F.array("low", "high")).alias("b"))
-    sizes = wanted.select(F.col("node").alias("b"), F.col("n").alias("m"))
-    against = buckets.join(ends, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b", "n").agg(F.count(F.lit(1)).alias("shared"))
-    # The more tables two nodes share the likelier they are linked: one best representative per node goes first.
-    stars = written(against.join(sizes, "b").where(_possible(banding)).select("a", "b", "shared"), "star-pairs")
-    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best")["b"].alias("b"))
-    labels = _merged(labels, written(verified(best, sets, banding), "links"))
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    halves = wanted.select("node", "halves")
-    open_ = _across(tested, labels).join(halves.withColumnsRenamed({"node": "a", "halves": "x"}), "a").join(
-        halves.withColumnsRenamed({"node": "b", "halves": "y"}), "b").where(_alike(F.col("x"), F.col("y"), banding)).select("a", "b")
-    labels = _merged(labels, written(verified(open_, sets, banding), "links"))
-
-    # Round 3, for what lies in one bucket but in several components: each pair once, in the first half key of the first
+    against = buckets.join(ends, "key").where("node <> b").select(
+        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    near, far = (sizes.withColumnsRenamed({"node": x, "n": f"n_{x}", "shared": f"shared_{x}"}) for x in "ab")
+    stars = against.join(_light(near), "a").join(_light(far), "b").where(_able("a", "b", banding))
+    stars = written(stars.select("a", "b"), "star-pairs")
+    labels = written(sizes.select("node", F.col("node").alias("root")), "labels")
+    labels = _merged(labels, written(verified(stars, sets, banding), "links"))
+
+    # Round 2, for what lies in one bucket but in several components: each pair once, in the first half key of the first
     # collection that both have, if the second collection agrees somewhere too. Nodes outside the largest component
     # of a bucket meet the rest of it; nodes of one component never meet.
-    first = wanted.join(labels, "node").select("node", "n", "root", "halves", F.posexplode(F.slice("halves", 1, banding.halves)).alias("place", "half"))
+    first = wanted.join(_light(labels), "node").select("node", "n", "root", "halves", F.posexplode(F.slice("halves", 1, banding.halves)).alias("place", "half"))
     counts = first.groupBy("half", "root").agg(F.count(F.lit(1)).alias("times"))
     largest = counts.groupBy("half").agg(F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where(
         "roots > 1").select("half", F.col("top")["root"].alias("top"))
     mixed = written(first.join(largest, "half").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "mixed")
-    # A shingle that no other of these nodes has is in no intersection, so what a node shares bounds its similarities.
-    # Nodes that can have no link leave, and the second look counts without them.
-    for _ in range(2):
-        owned = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-        lone = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1")
-        lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-        mixed = mixed.drop("shared").join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-        mixed = written(mixed.where(100 * F.col("shared") >= banding.percent * F.col("n")), "mixed")
+    mixed = mixed.join(_light(_shared(sets, mixed.select("node", "n").distinct(), banding)), ["node", "n"])
+    mixed = written(mixed, "mixed")
     others = mixed.select("half", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "halves", "outside", "shared")])
-    able = (100 + banding.percent) * F.least("shared", "o_shared") >= banding.percent * (F.col("n") + F.col("o_n"))
     side = banding.halves
     earlier = F.arrays_overlap(F.array(F.lit(True)), F.zip_with(
         F.slice("halves", F.lit(1), F.col("place")), F.slice("o_halves", F.lit(1), F.col("place")), lambda p, q: p == q))
     second = F.arrays_overlap(F.slice("halves", side + 1, side), F.slice("o_halves", side + 1, side))
     facing = mixed.where("outside").join(others, (
         (mixed["half"] == others["half"]) & (F.col("root") != F.col("o_root")) & (~F.col("o_outside") | (F.col("node") < F.col("o_node")))
-        & able & ~earlier & second & _alike(F.col("halves"), F.col("o_halves"), banding)))
+        & _bounded("n", "o_n", "shared", "o_shared", banding) & ~earlier & second & _alike(F.col("halves"), F.col("o_halves"), banding)))
     last = facing.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
-    last = written(last.join(tested, ["a", "b"], "left_anti"), "last-pairs")
+    last = written(last.join(stars, ["a", "b"], "left_anti"), "last-pairs")
     return _merged(labels, written(verified(last, sets, banding), "links"))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes are in different components."""
-    return pairs.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
-        labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select("a", "b")
+def _across(pairs: DataFrame, labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs whose nodes are in different components: the nodes, or with "ra" and "rb" the components."""
+    known = _light(labels)
+    return pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
+        known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(
+        F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, f1, f2, n_shingles, component_id, kept.
 
     f1 and f2 identify the row by its content; of rows with the identifier of their component all are kept.
