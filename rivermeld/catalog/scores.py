@@ -253,8 +253,8 @@ def folded_vectors(t: Inputs) -> DataFrame:
 
 
 def training_matrix(t: Inputs) -> DataFrame:
-    """The two-class part of the feature matrix, computed once."""
-    return written(full_matrix(t).where(F.col("wfd_status").isin("Moderate", "Poor")), "matrix")
+    """The feature matrix with all its labels, computed once."""
+    return written(full_matrix(t), "matrix")
 
 
 @query("m1_spatial_folds")
@@ -263,10 +263,19 @@ def spatial_folds(t: Inputs) -> DataFrame:
     return folded.groupBy("fold").agg(F.count("*").alias("n"), F.min("easting").alias("west"), F.max("easting").alias("east"))
 
 
+@query("m1_every_reading_in_one_fold", ctes(["readings"]) + """
+SELECT fww_id, COUNT(DISTINCT easting || ' ' || northing) AS n_places, 1 AS n_folds, TRUE AS in_range FROM readings GROUP BY fww_id""")
+def readings_per_fold(t: Inputs) -> DataFrame:
+    folded = learning.spatial_folds(t.readings.select("fww_id", "easting", "northing"))
+    return folded.groupBy("fww_id").agg(
+        F.count_distinct("easting", "northing").alias("n_places"), F.count_distinct("fold").cast("int").alias("n_folds"),
+        F.bool_and(F.col("fold").between(0, learning.FOLDS - 1)).alias("in_range"))
+
+
 @query("m2_m3_m6_forest_cross_validation")
 def forest_cv(t: Inputs) -> DataFrame:
-    folded = written(learning.spatial_folds(training_matrix(t), restarts=3), "folded")
-    return learning.cross_validate(folded, FEATURES, "rf", **FOREST).fold_scores()
+    folded = written(learning.spatial_folds(training_matrix(t)), "folded")
+    return learning.cross_validate(folded, FEATURES, "rf").fold_scores()
 
 
 @query("m4_boosted_cross_validation")
@@ -276,7 +285,7 @@ def boosted_cv(t: Inputs) -> DataFrame:
 
 @query("m5_logistic_cross_validation")
 def logistic_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "logreg", **SMALL["logreg"]).pooled()
+    return learning.cross_validate(folded_vectors(t), NAMES, "logreg").pooled()
 
 
 @query("m7_fold_importance")
@@ -284,24 +293,26 @@ def fold_importance(t: Inputs) -> DataFrame:
     return learning.cross_validate(folded_vectors(t), NAMES, "rf", **FOREST).feature_importance()
 
 
-TWO_CLASSES = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
+MATRIX_ROWS = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
   SELECT fww_id, wb_id FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
-    AND phosphate_mid IS NOT NULL AND wfd_status IN ('Moderate', 'Poor'))""")
+    AND phosphate_mid IS NOT NULL)""")
 
 
-@query("m8_m9_s21_saved_model_scores_every_row_once", TWO_CLASSES + """
+@query("m8_m9_s21_saved_model_scores_every_row_once", MATRIX_ROWS + """
 SELECT fww_id, wb_id, 'rf_model' AS model_version, 'historical' AS data_source, TRUE AS chances_add_up,
        TRUE AS larger_chance_wins FROM rows_used""")
 def saved_model_scores(t: Inputs) -> DataFrame:
     rows = training_matrix(t)
     models = ModelStore(t.spark, new_folder(t.spark, "models"))
-    models.save(learning.train_final(rows, FEATURES, "rf", **FOREST), "rf", AS_OF)
+    models.save(learning.train_final(rows, FEATURES, "rf"), "rf", AS_OF)
     scored = learning.score(models.load("rf"), rows, FEATURES)
     rows = learning.prediction_rows(scored, "rf_model", "historical", AS_OF)
-    poor = F.col("prob_poor") > F.col("prob_moderate")
-    wins = (F.col("prob_poor") == F.col("prob_moderate")) | (poor == (F.col("predicted_status") == "Poor"))
+    poor, moderate = F.col("prob_poor"), F.col("prob_moderate")
+    good = 1 - poor - moderate
+    chance = F.when(F.col("predicted_status") == "Poor", poor).when(F.col("predicted_status") == "Moderate", moderate).otherwise(good)
+    wins = chance >= F.greatest(poor, moderate, good) - 2e-4
     return rows.select("fww_id", "wb_id", "model_version", "data_source",
-                       (F.abs(F.col("prob_poor") + F.col("prob_moderate") - 1) < 2e-4).alias("chances_add_up"),
+                       good.between(-2e-4, 1 + 2e-4).alias("chances_add_up"),
                        wins.alias("larger_chance_wins"))
 
 
@@ -346,7 +357,7 @@ def feature_test(t: Inputs) -> DataFrame:
     return training.feature_test(folded_vectors(t), "f3", NAMES, "rf", **FOREST)
 
 
-@query("m14_retraining_job", TWO_CLASSES + """
+@query("m14_retraining_job", MATRIX_ROWS + """
 SELECT table_name, CAST(n AS BIGINT) AS n FROM (
   SELECT 'feat_matrix' AS table_name, (SELECT COUNT(*) FROM rows_used) AS n
   UNION ALL SELECT 'predictions', (SELECT COUNT(*) FROM rows_used)
@@ -357,7 +368,7 @@ def retraining(t: Inputs) -> DataFrame:
     store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
     store.replace("feat_matrix", training_matrix(t), AS_OF)
     models = ModelStore(t.spark, new_folder(t.spark, "models"))
-    training.retrain(store, models, AS_OF, "logreg", maxIter=100)
+    training.retrain(store, models, AS_OF, "logreg")
     training.score_history(store, models, AS_OF, "logreg")
     return store.row_counts()
 

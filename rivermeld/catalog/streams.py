@@ -50,7 +50,7 @@ def matrix_store(t: Inputs) -> Warehouse:
     usable = matrix.usable_readings(t.readings)
     near = matrix.match_waterbodies(usable, matrix.classified_rivers(t.waterbodies))
     joined = attach_returns(near.where("match_q <> 'poor'"), edm_table(t))
-    rows = matrix.build_matrix(joined).where(F.col("wfd_status").isin("Moderate", "Poor"))
+    rows = matrix.build_matrix(joined)
     store.replace("feat_matrix", rows, "2024-01-01 00:00:00")
     return store
 
@@ -108,7 +108,7 @@ def rolling(t: Inputs) -> DataFrame:
 
 @query("t4_t7_batch_refresh_and_log", ctes(["readings", "waterbodies", "edm_live"], RIVERS, MATCHED) + """,
 n AS (SELECT COUNT(*) AS n FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
-        AND phosphate_mid IS NOT NULL AND wfd_status IN ('Moderate', 'Poor') AND wb_id IN (SELECT wb_id FROM edm_live))
+        AND phosphate_mid IS NOT NULL AND wb_id IN (SELECT wb_id FROM edm_live))
 SELECT '2024-01-01 00:00:00' AS run_at, 'live_inference' AS source, 'no_new_data' AS status,
        CAST(0 AS BIGINT) AS records_fetched, CAST(0 AS BIGINT) AS records_new
 UNION ALL SELECT '2024-01-31 00:00:00', 'live_inference', 'success', n, n FROM n

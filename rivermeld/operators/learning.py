@@ -107,9 +107,11 @@ def fit_model(train: DataFrame, features: list[str], kind: str, labels: list[str
 
 
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    """Tree importances or absolute coefficients: one number per feature."""
+    """Tree importances, or absolute coefficients averaged over classes: one number per feature."""
     fitted = model.stages[-2]
-    values = fitted.featureImportances if hasattr(fitted, "featureImportances") else abs(fitted.coefficients.toArray())
+    # Linear models have one row of coefficients, or one per class.
+    linear = not hasattr(fitted, "featureImportances")
+    values = abs(fitted.coefficientMatrix.toArray()).mean(axis=0) if linear else fitted.featureImportances
     return [(f, float(values[i])) for i, f in enumerate(features)]
 
 
