@@ -11,6 +11,8 @@ an empty result; columns other than identifier and text are not read.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,97 @@ SENTENCES = {
     "this work is licensed under the creative commons attribution 4 0 license": "ccby4-name",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4-name",
     "all rights reserved": "reserved",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-name",  # a sentence ends behind 'v.'
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-grant",
+    "this font software is licensed under the sil open font license version 1 1": "ofl11-name",
 }
+#: Grants of the GNU licences, as whole sentences and, for the reading in which a colon ends one, without their first words.
+SENTENCES |= {
+    f"{first}you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation {which}": f"{short}-grant"
+    for short, name, version in (("gpl3", "gnu general public license", "3"), ("gpl2", "gnu general public license", "2"),
+                                 ("lgpl3", "gnu lesser general public license", "3"), ("lgpl21", "gnu lesser general public license", "2 1"),
+                                 ("agpl3", "gnu affero general public license", "3"))
+    for first in ("", "this program is free software ", "this library is free software ")
+    for which in (f"either version {version} of the license or at your option any later version", f"version {version} of the license",
+                  f"either version {version} of the license")
+}
+
+
+# Names that a notice can give a licence, normalised and without article; identifier, licence, names.
+_GNU = {"gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "agpl": "gnu affero general public license"}
+
+
+def _gnu(short: str, version: str) -> tuple[str, ...]:
+    """Names of a version ('3', '2 1') of a GNU licence."""
+    full = _GNU[short]
+    exact = version if " " in version else f"{version} 0"
+    brief = [f"{n}{v}" for n in (short, f"gnu {short}") for v in (f"v{version}", f" v{version}", f" version {version}", f" {version}", f" {exact}", f" v{exact}")]
+    long = [f"{full} {v}" for v in (f"v{version}", f"version {version}", version, exact, f"v{exact}", f"version {exact}")]
+    return tuple(dict.fromkeys([f + e for f in brief for e in ("", " only", " or later")] + [f + e for f in long for e in ("", " or later", " or any later version")]))
+
+
+def _cc(kind: str, version: str) -> tuple[str, ...]:
+    """Names of a Creative Commons licence ('by nc', '4 0'); without a version too."""
+    words = {"by": ("attribution",), "nc": ("noncommercial", "non commercial"), "sa": ("sharealike", "share alike"),
+             "nd": ("noderivatives", "noderivs", "no derivatives")}
+    full = [""]
+    for k in kind.split():
+        full = [f"{f} {w}" for f in full for w in words[k]]
+    forms = [f"cc {kind}", f"creative commons {kind}", *["creative commons" + f for f in full]]
+    ends = {"4 0": ("", " international"), "3 0": ("", " unported")}.get(version, ("",))
+    return tuple(f"{f} {version}{e}".replace("  ", " ").rstrip() for f in forms for e in ends)
+
+
+NAMES = (
+    ("mit-name", "MIT", ("mit", "expat")),
+    ("apache2-name", "Apache-2.0", ("apache 2 0", "apache 2", "apache license 2 0", "apache license version 2 0", "apache license v2 0",
+                                    "apache software license 2 0", "apache software license version 2 0", "asl 2 0")),
+    ("gpl3-name", "GPL-3.0", _gnu("gpl", "3")), ("gpl2-name", "GPL-2.0", _gnu("gpl", "2")),
+    ("lgpl3-name", "LGPL-3.0", _gnu("lgpl", "3")), ("lgpl21-name", "LGPL-2.1", _gnu("lgpl", "2 1")),
+    ("agpl3-name", "AGPL-3.0", _gnu("agpl", "3")),
+    ("bsd2-name", "BSD-2-Clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd")),
+    ("bsd3-name", "BSD-3-Clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd")),
+    ("bsd0-name", "0BSD", ("0bsd", "zero clause bsd", "bsd zero clause")),
+    ("isc-name", "ISC", ("isc",)),
+    ("mpl2-name", "MPL-2.0", ("mpl 2 0", "mpl v2 0", "mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v2 0")),
+    ("epl1-name", "EPL-1.0", ("epl 1 0", "epl v1 0", "eclipse public license 1 0", "eclipse public license version 1 0", "eclipse public license v1 0")),
+    ("epl2-name", "EPL-2.0", ("epl 2 0", "epl v2 0", "eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v2 0")),
+    ("cddl1-name", "CDDL-1.0", ("cddl 1 0", "common development and distribution license 1 0", "common development and distribution license version 1 0")),
+    ("eupl12-name", "EUPL-1.2", ("eupl 1 2", "eupl v1 2", "european union public licence 1 2", "european union public licence v 1 2")),
+    ("artistic2-name", "Artistic-2.0", ("artistic 2 0", "artistic license 2 0", "artistic license version 2 0")),
+    ("unlicense-name", "Unlicense", ("unlicense",)),
+    ("zlib-name", "Zlib", ("zlib", "zlib libpng")),
+    ("bsl1-name", "BSL-1.0", ("bsl 1 0", "boost 1 0", "boost software license 1 0", "boost software license version 1 0")),
+    ("busl11-name", "BUSL-1.1", ("busl 1 1", "business source license 1 1", "business source license version 1 1")),
+    ("wtfpl-name", "WTFPL", ("wtfpl", "do what the fuck you want to public")),
+    ("ofl11-name", "OFL-1.1", ("ofl 1 1", "sil ofl 1 1", "sil open font license 1 1", "sil open font license version 1 1")),
+    ("gfdl13-name", "GFDL-1.3", ("gfdl 1 3", "gnu fdl 1 3", "gnu free documentation license 1 3", "gnu free documentation license version 1 3")),
+    ("odbl1-name", "ODbL-1.0", ("odbl 1 0", "odbl v1 0", "open database license 1 0", "open database license v1 0")),
+    ("cc0-name", "CC0-1.0", ("cc0", "cc0 1 0", "cc0 1 0 universal", "cc zero", "creative commons cc0", "creative commons cc0 1 0", "creative commons zero",
+                             "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal", "cc0 1 0 universal public domain dedication")),
+    *((f"cc{k.replace(' ', '')}{v.removesuffix(' 0').replace(' ', '')}-name", "-".join(["CC", *k.upper().split(), *([v.replace(" ", ".")] if v else [])]), _cc(k, v))
+      for k in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for v in ("4 0", "3 0", "2 5", "2 0", "")),
+)
+
+#: What stands before a name in a notice.
+BEFORE = ("licensed under", "released under", "distributed under", "published under", "available under", "this work is licensed under",
+          "this project is licensed under", "this software is licensed under", "spdx license identifier")
+
+
+def _notices(name: str) -> list[str]:
+    """The notices that give a licence by one of its names."""
+    ends = ("",) if " license" in name or " licence" in name else ("", " license") if name.startswith(("cc ", "creative")) else ("", " license", " licence")
+    articles = ("", " the", " a") if name.startswith("creative") else ("", " the")
+    return [f"{b}{a} {name}{e}" for b in BEFORE for a in articles for e in ends if not (b.startswith("spdx") and (a or e))]
+
+
+SENTENCES = {n: i for i, _, names in NAMES for name in names for n in _notices(name)} | SENTENCES
 
 #: Ordered rules: licence, then sentence identifiers in the order they must have.
 RULES = (
@@ -63,16 +155,27 @@ RULES = (
     ("LGPL-2.1", ("lgpl21-grant",)),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("AGPL-3.0", ("agpl3-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl1-grant",)),
+    ("0BSD", ("bsd0-grant",)),
+    ("Unlicense", ("unlicense-grant",)),
+    ("CC0-1.0", ("cc0-grant",)),
+    ("EPL-1.0", ("epl1-grant",)),
+    ("EPL-2.0", ("epl2-grant",)),
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl2-name",)),
     ("CC-BY-4.0", ("ccby4-name",)),
     ("CC-BY-SA-4.0", ("ccbysa4-name",)),
     ("proprietary", ("reserved",)),
 )
+RULES += tuple((name, (i,)) for i, name, _ in NAMES if (name, (i,)) not in RULES)
 
 #: A sentence ends at a mark that white space follows, and either at every line end or, for wrapped lines, at empty lines.
 ENDS = (r"\n+|(?<=[.!?])[\x20\t\r]+", r"\n[\x20\t\r]*\n\s*|(?<=[.!?:])[\x20\t\r\n]+")
-HINT = r"(?i)licen[sc]|permission|redistribut|warrant|rights reserved|copyright|distributed|free software|subject to"
+HINT = (r"(?i)licen[sc]|permission|redistribut|warrant|rights[^a-z0-9]+reserved|copyright|distributed|free[^a-z0-9]+software|subject[^a-z0-9]+to"
+        r"|(?:released|published|available)[^a-z0-9]+under|public[^a-z0-9]+domain")
 
 
 def rule_pattern(ids: tuple[str, ...], gap: int = 2) -> str:
@@ -86,13 +189,30 @@ def normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+BUCKETS = 256  # a map is searched key by key, so sentences are dealt over many
+
+
+def constant_map(entries: dict[str, str]) -> Column:
+    """A map of fixed words, folded into a literal."""
+    return F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in entries.items())), F.lit(";"), F.lit("="))
+
+
+def known_sentences() -> Callable[[Column], Column]:
+    """Gives the identifier of a normalised sentence, or null."""
+    dealt: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for s, i in SENTENCES.items():
+        dealt[zlib.crc32(s.encode()) % BUCKETS][s] = i
+    maps = F.array(*[constant_map(d) for d in dealt])
+    return lambda s: F.try_element_at(F.get(maps, F.crc32(s.cast("binary")) % BUCKETS), s)
+
+
 def recognised(docs: DataFrame, text: str = "text", gap: int = 2) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids (in order) and licenses (names in ascending order)."""
-    known = F.create_map(*[x for s, i in SENTENCES.items() for x in (F.lit(s), F.lit(i))])
+    known = known_sentences()
 
     def found(ends: str) -> Column:
         parts = F.filter(F.split(whole(text), ends, -1), lambda x: x.rlike(HINT))
-        return F.filter(F.transform(parts, lambda x: F.try_element_at(known, normal(x))), lambda x: x.isNotNull())
+        return F.filter(F.transform(F.transform(parts, normal), known), lambda x: x.isNotNull())
 
     none = F.array().cast("array<string>")
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
@@ -100,8 +220,10 @@ def recognised(docs: DataFrame, text: str = "text", gap: int = 2) -> DataFrame:
     # The reading that knows more sentences counts; of equals the one by lines.
     ids = both.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("ids"))
     chained = ids.select("doc_id", "ids", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("chain"))
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(
-        *[F.when(F.col("chain").rlike(rule_pattern(r, gap)), F.lit(name)) for name, r in RULES]))))
+    single = constant_map({r[0]: name for name, r in RULES if len(r) == 1})  # such a rule holds where its sentence is
+    ordered = F.array(*[F.when(F.col("chain").rlike(rule_pattern(r, gap)), F.lit(name)) for name, r in RULES if len(r) > 1])
+    licences = F.array_sort(F.array_distinct(F.array_compact(
+        F.concat(F.transform("ids", lambda x: F.try_element_at(single, x)), ordered))))
     return chained.select("doc_id", F.size("ids").cast("long").alias("n_sentences"),
                           F.array_join("ids", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"))
 
