@@ -1,10 +1,11 @@
 """Main text of web pages; page furniture goes by site template counts and by the meaning of its markup.
 
-First pass: every container element (div, nav, ul, footer, ...) with text is hashed with all it holds. Spark counts, per host,
-on how many different pages each hash occurs. Second pass: containers that recur on many pages of their host are deleted,
-and with them menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers, told by
-their tags, roles and class names. Pages with the same main text count once, so copies of an article are no template, and
-paragraphs and headings are never counted, so a sentence that many articles share stays.
+First pass: every block element (div, article, nav, ul, footer, ...) with text is hashed with all it holds. Spark counts, per
+host, on how many different pages each hash occurs. Second pass: blocks that recur on `least` pages of their host, however
+many pages it has, are deleted, and with them menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments
+of readers, told by their tags, roles and class names. Pages differ if their addresses do and their main texts without any
+block that may be a template, so an article that is stored again with other adverts is no template. Paragraphs, headings,
+list items and other single pieces of text are never counted, so a sentence that many articles share stays.
 
 Only pages that keep text inside a recurring container need the first pass's result; they are joined by a broadcast
 while their number is below a checked limit and by a shuffle join beyond it.
@@ -33,7 +34,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody "
     "tfoot thead tr ul caption".split())
-CONTAINER = frozenset("aside details dialog div dl figure footer form header menu nav ol search section table ul".split())
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre blockquote caption figcaption summary legend hr".split())
+CONTAINER = BLOCK - PIECES - {"html", "body"}
 DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas audio video map nav footer aside form button select "
     "option datalist input textarea label menu dialog search title".split())
@@ -269,56 +271,90 @@ def text_of(html: str | None, recurring: frozenset = frozenset()) -> tuple[str,
 
     main = _main(root)
     for node in main or [root]:
+        if codes.get(id(node)) in recurring:
+            continue
         walk(node, bool(main))
         end_block()
     return "\n".join(blocks), [c for c, _ in containers], sorted(live)
 
 
+TRACKING = r"#.*$|(?<=[?&])utm_[a-z]+=[^&#]*&?"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _signed(text: str) -> int:
+    import xxhash
+
+    code = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return code - ((code >> 63) << 64)
+
+
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """f1, f2, host, main (hash of the main text), codes of containers, live ones of them."""
+    """f1, f2, host, place, main (hash of the main text), codes of containers, live ones of them."""
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             rows = [text_of(h.as_py()) for h in batch.column("html")]
-            main = [xxhash.xxh64_intdigest(r[0].encode("utf-8", "replace")) for r in rows]
             yield pa.RecordBatch.from_arrays([
-                batch.column("f1"), batch.column("f2"), batch.column("host"),
-                pa.array([m - ((m >> 63) << 64) for m in main], pa.int64()),
+                *[batch.column(c) for c in ("f1", "f2", "host", "place")],
+                pa.array([_signed(r[0]) for r in rows], pa.int64()),
                 pa.array([list(dict.fromkeys(r[1])) for r in rows], pa.list_(pa.int64())),
-                pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["f1", "f2", "host", "main", "codes", "live"])
+                pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["f1", "f2", "host", "place", "main", "codes", "live"])
 
-    return pages.select("f1", "f2", "host", "html").mapInArrow(
-        counted, "f1 long, f2 long, host string, main long, codes array<long>, live array<long>")
+    return pages.select("f1", "f2", "host", "place", "html").mapInArrow(
+        counted, "f1 long, f2 long, host string, place long, main long, codes array<long>, live array<long>")
 
 
-def templates(subtrees: DataFrame, least: int, share: float) -> DataFrame:
-    """host, code of the containers on at least `least` and a `share` of the different pages of their host."""
-    seen = subtrees.select("host", "main", F.explode("codes").alias("code")).groupBy("host", "code", "main").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "code").agg(F.sum("one").alias("n")).where(F.col("n") >= least)
-    totals = subtrees.groupBy("host", "main").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("pages"))
-    return counts.join(totals.where(F.col("pages") >= least), "host").where(F.col("n") >= share * F.col("pages")).select("host", "code")
+def _rest(pages: DataFrame) -> DataFrame:
+    """f1, f2, rest (hash of the main text without the containers in `codes`)."""
+
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rest = [_signed(text_of(h.as_py(), frozenset(c.as_py()))[0]) for h, c in zip(batch.column("html"), batch.column("codes"))]
+            yield pa.RecordBatch.from_arrays([batch.column("f1"), batch.column("f2"), pa.array(rest, pa.int64())], names=["f1", "f2", "rest"])
 
+    return pages.select("f1", "f2", "html", "codes").mapInArrow(counted, "f1 long, f2 long, rest long")
 
-def main_text(pages: DataFrame, least: int = 5, share: float = 0.3, broadcast_rows: int = 50_000) -> DataFrame:
+
+def templates(subtrees: DataFrame, least: int) -> DataFrame:
+    """host, code of the containers on pages of at least `least` different main texts and `least` different places of their host."""
+    each = subtrees.select("host", "main", "place", F.explode("codes").alias("code"))
+
+    def often(by: str) -> DataFrame:
+        once = each.groupBy("host", "code", by).agg(F.lit(1).alias("one"))
+        return once.groupBy("host", "code").agg(F.sum("one").alias("n")).where(F.col("n") >= least).select("host", "code")
+
+    return often("main").join(often("place"), ["host", "code"])
+
+
+def _held(subtrees: DataFrame, codes: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
+    """f1, f2, codes: those of `codes` that hold kept text of a page; broadcast while small."""
+    rows = written(
+        subtrees.select("f1", "f2", "host", F.explode("live").alias("code")).join(codes, ["host", "code"])
+        .groupBy("f1", "f2").agg(F.collect_set("code").alias("codes")), name)
+    # A row is two hashes and the containers of one page; few pages keep text inside a recurring container.
+    small = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+    return F.broadcast(rows) if small[0] + small[1] <= broadcast_rows else rows
+
+
+def main_text(pages: DataFrame, least: int = 5, broadcast_rows: int = 50_000) -> DataFrame:
     """page_id, url, text of every page."""
     named = pages.select(
         "page_id", "url", "html", F.xxhash64(F.lit(1), "page_id", "url", "html").alias("f1"),
         F.xxhash64(F.lit(2), "page_id", "url", "html").alias("f2"),
-        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
+        F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"),
+        F.xxhash64(F.coalesce(F.regexp_replace("url", TRACKING, ""), F.col("html"))).alias("place"))
     subtrees = written(_subtrees(named), "subtrees")
-    recurring = templates(subtrees, least, share)
-    affected = written(
-        subtrees.select("f1", "f2", "host", F.explode("live").alias("code")).join(recurring, ["host", "code"])
-        .groupBy("f1", "f2").agg(F.collect_set("code").alias("codes")), "recurring")
-    # A row is two hashes and the containers of one page; few pages keep text inside a recurring container.
-    small = affected.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
-    affected = F.broadcast(affected) if small[0] + small[1] <= broadcast_rows else affected
+    likely = written(templates(subtrees, least), "likely")
+    doubtful = _held(subtrees, likely, "doubtful", broadcast_rows)
+    rest = written(_rest(named.join(doubtful, ["f1", "f2"])).distinct(), "rest")
+    judged = subtrees.join(rest, ["f1", "f2"], "left").withColumn("main", F.coalesce("rest", "main"))
+    recurring = templates(judged, least)
+    affected = _held(subtrees, recurring, "recurring", broadcast_rows)
     joined = named.join(affected, ["f1", "f2"], "left").select("page_id", "url", "html", "codes")
 
     def extracted(batches: Iterator) -> Iterator:

@@ -69,6 +69,24 @@ def test_copies_of_one_page_are_no_template(spark):
     assert len(got) == 30 and {r["text"] for r in got} == {"One article, stored again and again."}
 
 
+def test_rotating_blocks_of_plain_markup_go_on_a_large_host(spark):
+    """Each of 12 blocks stands on a twelfth of the pages; the tags are of all kinds and have no telling name."""
+    tags = ("div", "section", "center", "address", "fieldset", "table")
+
+    def advert(k):
+        return f"<{tags[k % 6]}><tr><td>Advert of kind {k} to be seen.</td></tr></{tags[k % 6]}>"
+
+    rows = [(f"http://big.example.com/{k}", f"<body><div><p>Text of page {k}.</p><p>Said by all.</p></div>{advert(k % 12)}</body>") for k in range(240)]
+    # One article at one place, seen again with other adverts and other marks in the address, is no template.
+    rows += [(f"http://big.example.com/again?utm_source=s{k}", f"<body><div><p>The same.</p></div>{advert(k)}<div>{k} readers</div></body>") for k in range(12)]
+    # Nor at several places, if all that differs are the adverts.
+    rows += [(f"http://big.example.com/copy{k}", f"<body><div><p>Copied.</p></div>{advert(k)}</body>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert [got[k] for k in range(240)] == [f"Text of page {k}.\nSaid by all." for k in range(240)]
+    assert [got[240 + k] for k in range(12)] == [f"The same.\n{k} readers" for k in range(12)]
+    assert [got[252 + k] for k in range(12)] == ["Copied."] * 12
+
+
 def test_empty_table(spark, tmp_path):
     frame = pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())})
     pq.write_table(frame, tmp_path / "pages.parquet")
