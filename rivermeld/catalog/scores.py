@@ -244,12 +244,11 @@ def keyed_shap(t: Inputs) -> DataFrame:
 
 
 # ---- models --------------------------------------------------------------------------------------
-FOREST = {"numTrees": 10, "maxDepth": 5}
-SMALL = {"rf": FOREST, "gbt": {"maxIter": 8, "maxDepth": 4}, "logreg": {"maxIter": 100}}
+SEEDS = [42, 7, 123, 2024, 99]
 
 
 def folded_vectors(t: Inputs) -> DataFrame:
-    return written(learning.spatial_folds(vector_rows(t), restarts=3), "folded")
+    return written(learning.spatial_folds(vector_rows(t)), "folded")
 
 
 def training_matrix(t: Inputs) -> DataFrame:
@@ -257,6 +256,10 @@ def training_matrix(t: Inputs) -> DataFrame:
     return written(full_matrix(t), "matrix")
 
 
+def folded_matrix(t: Inputs) -> DataFrame:
+    return written(learning.spatial_folds(training_matrix(t)), "folded")
+
+
 @query("m1_spatial_folds")
 def spatial_folds(t: Inputs) -> DataFrame:
     folded = learning.spatial_folds(t.readings.select("fww_id", "easting", "northing"))
@@ -274,13 +277,12 @@ def readings_per_fold(t: Inputs) -> DataFrame:
 
 @query("m2_m3_m6_forest_cross_validation")
 def forest_cv(t: Inputs) -> DataFrame:
-    folded = written(learning.spatial_folds(training_matrix(t)), "folded")
-    return learning.cross_validate(folded, FEATURES, "rf").fold_scores()
+    return learning.cross_validate(folded_matrix(t), FEATURES, "rf").fold_scores()
 
 
 @query("m4_boosted_cross_validation")
 def boosted_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "gbt", **SMALL["gbt"]).pooled()
+    return learning.cross_validate(folded_vectors(t), NAMES, "gbt").pooled()
 
 
 @query("m5_logistic_cross_validation")
@@ -290,7 +292,7 @@ def logistic_cv(t: Inputs) -> DataFrame:
 
 @query("m7_fold_importance")
 def fold_importance(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "rf", **FOREST).feature_importance()
+    return learning.cross_validate(folded_vectors(t), NAMES, "rf").feature_importance()
 
 
 MATRIX_ROWS = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
@@ -318,16 +320,13 @@ def saved_model_scores(t: Inputs) -> DataFrame:
 
 @query("m10_w6_model_comparison")
 def model_comparison(t: Inputs) -> DataFrame:
-    folded = folded_vectors(t)
-    results = training.compare_models(folded, NAMES, changes=SMALL)
-    rules = folded.withColumns({"phosphate_mid": F.col("f0") + 0.1, "nitrate_mid": F.col("f1") + 2})
-    return agreement.comparison(training.comparison_table(rules, results))
+    folded = folded_matrix(t)
+    return agreement.comparison(training.comparison_table(folded, training.compare_models(folded, FEATURES)))
 
 
 @query("m11_w3_s20_ablation")
 def ablation(t: Inputs) -> DataFrame:
-    sets = {"first": NAMES[:8], "second": NAMES[:24], "all": NAMES}
-    return training.ablation(folded_vectors(t), "rf", sets, **FOREST)
+    return training.ablation(folded_matrix(t))
 
 
 @query("m12_oversampled_rows", """
@@ -346,15 +345,15 @@ def oversampled_rows(t: Inputs) -> DataFrame:
 @query("m12_e10_oversampled_forest")
 def oversampled_forest(t: Inputs) -> DataFrame:
     folded = folded_vectors(t)
-    result = training.train_oversampled(folded, NAMES, **FOREST)
-    plain = learning.cross_validate(folded, NAMES, "rf", **FOREST).pooled()
+    result = training.train_oversampled(folded, NAMES)
+    plain = learning.cross_validate(folded, NAMES, "rf").pooled()
     metrics = plain.select(F.col("moderate_f1").alias("mod_f1"), "poor_f1")
     return training.oversampling_verdict(result, agreement.share_weighted_f1(metrics, folded))
 
 
 @query("m13_p23_feature_test")
 def feature_test(t: Inputs) -> DataFrame:
-    return training.feature_test(folded_vectors(t), "f3", NAMES, "rf", **FOREST)
+    return training.feature_test(folded_vectors(t), "f3", NAMES, "rf")
 
 
 @query("m14_retraining_job", MATRIX_ROWS + """
@@ -375,7 +374,7 @@ def retraining(t: Inputs) -> DataFrame:
 
 @query("m15_x8_seed_stability")
 def seed_stability(t: Inputs) -> DataFrame:
-    checks = training.seed_stability(folded_vectors(t), NAMES, [1, 2], numTrees=5, maxDepth=4)
+    checks = training.seed_stability(folded_vectors(t), NAMES, SEEDS)
     return checks["spread"].withColumn("row", F.lit(1)).join(
         checks["agreement"].withColumn("row", F.lit(1)), "row").drop("row")
 
@@ -383,21 +382,21 @@ def seed_stability(t: Inputs) -> DataFrame:
 @query("m16_hypothetical_site")
 def hypothetical_site(t: Inputs) -> DataFrame:
     rows = vector_rows(t)
-    model = learning.train_final(rows, NAMES, "rf", **FOREST)
+    model = learning.train_final(rows, NAMES, "rf")
     return learning.score(model, training.hypothetical(rows, NAMES, {"f0": 0.3}), NAMES)
 
 
 @query("x1_x2_forest_shap_values")
 def forest_shap(t: Inputs) -> DataFrame:
     rows = vector_rows(t)
-    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "rf", **FOREST), rows, NAMES)
+    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "rf"), rows, NAMES)
     return shap
 
 
 @query("x1_boosted_shap_values")
 def boosted_shap(t: Inputs) -> DataFrame:
     rows = vector_rows(t)
-    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "gbt", **SMALL["gbt"]), rows, NAMES)
+    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "gbt"), rows, NAMES)
     return shap
 
 
@@ -405,7 +404,7 @@ def boosted_shap(t: Inputs) -> DataFrame:
 SELECT COUNT(*) AS n, COUNT(*) AS n_exact FROM embeddings""")
 def shap_additivity(t: Inputs) -> DataFrame:
     rows = vector_rows(t)
-    model = learning.train_final(rows, NAMES, "rf", **FOREST)
+    model = learning.train_final(rows, NAMES, "rf")
     shap, base = treeshap.shap_values(model, rows, NAMES)
     sums = shap.groupBy("fww_id").agg((F.sum("shap") + base).alias("total"))
     chance = learning.score(model, rows, NAMES).select("fww_id", "prob_poor")
@@ -416,7 +415,7 @@ def shap_additivity(t: Inputs) -> DataFrame:
 @query("x3_x5_importance_and_sign_check")
 def importance_and_sign(t: Inputs) -> DataFrame:
     rows = training_matrix(t)
-    model = learning.train_final(rows, FEATURES, "rf", numTrees=10, maxDepth=5)
+    model = learning.train_final(rows, FEATURES, "rf")
     shap, _ = treeshap.shap_values(model, rows, FEATURES)
     shap = written(shap, "shap")
     importance = explain.global_importance(shap)
@@ -426,4 +425,4 @@ def importance_and_sign(t: Inputs) -> DataFrame:
 
 @query("x4_shap_fold_stability")
 def shap_fold_stability(t: Inputs) -> DataFrame:
-    return training.shap_fold_stability(folded_vectors(t), NAMES, numTrees=5, maxDepth=4)[1]
+    return training.shap_fold_stability(folded_vectors(t), NAMES)[1]

@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.catalog.joins import edm_table
+from rivermeld.catalog.joins import full_matrix
 from rivermeld.catalog.registry import Inputs, query
 from rivermeld.catalog.sqltext import AS_OF, MATCHED, RIVERS, ctes
 from rivermeld.operators import learning, matrix
 from rivermeld.operators.nearest import index_places
-from rivermeld.operators.sewage import attach_returns
 from rivermeld.plans import build, live
 from rivermeld.session import new_folder, written
-from rivermeld.settings import CHEMISTRY, SEWAGE
+from rivermeld.settings import FEATURES
 from rivermeld.sources.driver_views import VIEWS
 from rivermeld.sources.store import Warehouse
 from rivermeld.streaming import live as streams
 
-NAMES = CHEMISTRY + SEWAGE
-
-
 def stream_of(t: Inputs, name: str) -> DataFrame:
     """A view over the events table as a stream, with event time as a timestamp."""
     schema = t.table("events").schema
@@ -45,18 +41,14 @@ def landed_in_days(t: Inputs) -> str:
 
 
 def matrix_store(t: Inputs) -> Warehouse:
-    """A warehouse with the matrix of all readings (chemistry and sewage features)."""
+    """A warehouse with the matrix of all readings."""
     store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
-    usable = matrix.usable_readings(t.readings)
-    near = matrix.match_waterbodies(usable, matrix.classified_rivers(t.waterbodies))
-    joined = attach_returns(near.where("match_q <> 'poor'"), edm_table(t))
-    rows = matrix.build_matrix(joined)
-    store.replace("feat_matrix", rows, "2024-01-01 00:00:00")
+    store.replace("feat_matrix", full_matrix(t), "2024-01-01 00:00:00")
     return store
 
 
-def small_model(store: Warehouse):
-    return learning.train_final(store.read("feat_matrix"), NAMES, "rf", numTrees=5, maxDepth=4)
+def live_model(store: Warehouse):
+    return learning.train_final(store.read("feat_matrix"), FEATURES, "rf")
 
 
 @query("t1_s9_j2_stream_to_store", ctes(["monitors", "waterbodies"]) + """,
@@ -84,7 +76,7 @@ def stream_rescores(t: Inputs) -> DataFrame:
     folder = landed_in_days(t)
     feed = streams.feed_stream(t.spark, folder, t.spark.read.parquet(folder).schema, "parquet", 1)
     index = index_places(store.read("feat_matrix").select("wb_id", "easting", "northing").distinct(), "wb_id")
-    streams.ingest(feed, index, store, new_folder(t.spark, "checkpoint"), small_model(store), NAMES).awaitTermination()
+    streams.ingest(feed, index, store, new_folder(t.spark, "checkpoint"), live_model(store), FEATURES).awaitTermination()
     scored = store.read("predictions").groupBy("data_source", "predicted_status").agg(F.count("*").alias("n"))
     logged = store.read("ingestion_log").groupBy("source", "status").agg(F.sum("records_new").alias("n"))
     return scored.toDF("part", "name", "n").unionByName(logged.toDF("part", "name", "n"))
@@ -115,12 +107,12 @@ UNION ALL SELECT '2024-01-31 00:00:00', 'live_inference', 'success', n, n FROM n
 UNION ALL SELECT '2024-02-01 00:00:00', 'live_inference', 'no_new_data', 0, 0""")
 def batch_refresh(t: Inputs) -> DataFrame:
     store = matrix_store(t)
-    model = small_model(store)
+    model = live_model(store)
     feed = t.edm_live.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    live.refresh(store, model, "2024-01-01 00:00:00", names=NAMES)
+    live.refresh(store, model, "2024-01-01 00:00:00", names=FEATURES)
     store.append("staging_edm_live", feed)
-    live.refresh(store, model, AS_OF, names=NAMES)
-    live.refresh(store, model, "2024-02-01 00:00:00", names=NAMES)
+    live.refresh(store, model, AS_OF, names=FEATURES)
+    live.refresh(store, model, "2024-02-01 00:00:00", names=FEATURES)
     return store.read("ingestion_log").select(
         F.col("run_at").cast("string").alias("run_at"), "source", "status", "records_fetched", "records_new")
 
