@@ -57,20 +57,23 @@ def rebuild(store: Warehouse, as_of: str, cells: DataFrame | None = None) -> Dat
     return rows
 
 
-def late_readings(readings: DataFrame, matrix: DataFrame, since: str, days: int) -> DataFrame:
-    """Readings with chemistry of the last `days` before the cutoff that are not in the matrix: stored after it was drawn."""
+def late_readings(readings: DataFrame, matrix: DataFrame, since: str, days: int | None = None) -> DataFrame:
+    """Readings with chemistry up to the cutoff, or of the last `days` before it, that are not in the matrix: stored after it was drawn."""
     rows = readings.na.drop(subset=CHEMISTRY)
     cutoff = F.lit(since).cast("timestamp")
     at = F.col("received_at").cast("timestamp")
-    window = rows.where((at <= cutoff) & (at > cutoff - F.make_dt_interval(F.lit(days))))
+    if days is None:  # a reading without a time can only be found here
+        window = rows.where((at <= cutoff) | at.isNull())
+    else:
+        window = rows.where((at <= cutoff) & (at > cutoff - F.make_dt_interval(F.lit(days))))
     return window.join(matrix.select("fww_id"), "fww_id", "left_anti").select(*rows.columns)
 
 
 def append_new(store: Warehouse, as_of: str, cells: DataFrame | None = None, since: str | None = None,
-               late_days: int = 7) -> int:
+               late_days: int | None = None) -> int:
     """Add readings received since the last successful run; a full rebuild when there was none.
 
-    Rows that were stored late, up to `late_days` before the cutoff, are added too.
+    Rows that were stored late are added too, however late; `late_days` limits that to so many days before the cutoff.
     """
     if since is None:
         since = last_success(store.read("ingestion_log"), "feature_engineering").first()["last_run"]

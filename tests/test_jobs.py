@@ -76,6 +76,23 @@ def test_late_rows_are_added_once(spark):
     assert [r["fww_id"] for r in build.new_readings(rows, AS_OF).collect()] == ["d"]
 
 
+def test_rows_of_any_lateness_are_added(spark, monkeypatch):
+    store = Warehouse(spark, new_folder(spark, "warehouse"))
+    kinds = "fww_id string, received_at timestamp, nitrate_mid double, phosphate_mid double"
+    rows = spark.createDataFrame([("a", None, 1.0, 1.0), ("b", None, 1.0, 1.0), ("c", None, None, 1.0), ("d", None, 1.0, 1.0)], kinds)
+    times = {"a": "2024-01-29", "b": "2001-01-02", "c": "2001-01-02"}
+    for name, at in times.items():
+        rows = rows.withColumn("received_at", F.when(F.col("fww_id") == name, F.lit(at).cast("timestamp")).otherwise(F.col("received_at")))
+    store.append("staging_fww", rows)
+    store.append("staging_wfd", rows)
+    store.append("staging_edm_historical", rows)
+    store.replace("feat_matrix", rows.where("fww_id = 'a'"), AS_OF)
+    monkeypatch.setattr(build, "full_build", lambda fresh, *rest: fresh)
+    assert build.append_new(store, AS_OF, since=AS_OF) == 2
+    assert sorted(r["fww_id"] for r in store.read("feat_matrix").collect()) == ["a", "b", "d"]
+    assert build.append_new(store, AS_OF, since=AS_OF) == 0
+
+
 def test_added_parts_old_versions_and_old_days(spark, monkeypatch):
     store = Warehouse(spark, new_folder(spark, "warehouse"))
     monkeypatch.setattr("rivermeld.sources.store.COMPACT", 2)
