@@ -47,6 +47,9 @@ def odd(tmp_path_factory):
              (5, " ".join(reversed(ITEM.split())) + " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu")]
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())}),
                    f"{folder}/benchmark.parquet")
+    judged = [(k if k % 10 else None, k % 3 if k % 7 else None, k % 2 if k % 5 else None) for k in range(n)] + [(3, 1, 0), (3, 0, 1), (9000, 1, 1)]
+    pq.write_table(pa.table({c: pa.array([r[i] for r in judged], pa.int64()) for i, c in enumerate(("doc_id", "quality", "toxic"))}
+                            | {"part": pa.array(["x"] * len(judged))}), f"{folder}/labels.parquet")
     return folder, n
 
 
@@ -64,6 +67,6 @@ def test_odd_rows_equal_sql(spark, odd, name):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_empty_tables_give_no_rows(spark, odd, name, tmp_path):
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         pq.write_table(pq.read_table(f"{odd[0]}/{t}.parquet").slice(0, 0), os.path.join(tmp_path, f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
