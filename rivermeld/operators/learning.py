@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivermeld.operators import boosting
 from rivermeld.operators.agreement import class_scores, confusion, report, weighted_f1
 from rivermeld.operators.matrix import filled_features
 from rivermeld.session import shared_folder, written
@@ -33,12 +34,14 @@ def fold_centres(df: DataFrame, folds: int = FOLDS, seed: int = SEED, restarts:
     ready = VectorAssembler(inputCols=["easting", "northing"], outputCol="position").transform(
         spots).select("position", "w").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
-    for i in range(restarts):
-        means = KMeans(k=folds, seed=seed + i, maxIter=100, tol=1e-4, featuresCol="position", weightCol="w")
-        fitted = means.fit(ready)
-        if best is None or fitted.summary.trainingCost < best[0]:
-            best = (fitted.summary.trainingCost, [tuple(map(float, c)) for c in fitted.clusterCenters()])
-    ready.unpersist()
+    try:
+        for i in range(restarts):
+            means = KMeans(k=folds, seed=seed + i, maxIter=100, tol=1e-4, featuresCol="position", weightCol="w")
+            fitted = means.fit(ready)
+            if best is None or fitted.summary.trainingCost < best[0]:
+                best = (fitted.summary.trainingCost, [tuple(map(float, c)) for c in fitted.clusterCenters()])
+    finally:
+        ready.unpersist()
     return sorted(best[1])
 
 
@@ -95,8 +98,11 @@ def fit_model(train: DataFrame, features: list[str], kind: str, labels: list[str
               balance: bool = True, **changes) -> PipelineModel:
     """Fit one scoring model on rows with `features` filled and `label` indexed.
 
-    The scaler of the logistic model is part of the saved model, so scoring sees the same scale.
+    The scaler of the logistic model is part of the saved model, so scoring sees the same scale. Boosted trees of more
+    than two classes are those of `boosting`.
     """
+    if kind == "gbt" and len(labels) > 2:
+        return boosting.fit_folds(train, features, labels, balance=balance, **changes)[None]
     weight = class_weights(train, kind) if balance else F.lit(1.0)
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features" if kind == "logreg" else "features")]
     if kind == "logreg":
@@ -202,8 +208,19 @@ def cross_validate(df: DataFrame, features: list[str] | None = None, kind: str =
         model = fit_model(train, features, kind, labels, total - sizes[fold], balance=resample is None, **changes)
         return fold, model
 
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        fitted = dict(pool.map(one, sorted(sizes)))
+    try:
+        return _fitted_folds(rows, features, kind, labels, sorted(sizes), one, at_once, resample is None, changes)
+    finally:
+        rows.unpersist()
+
+
+def _fitted_folds(rows: DataFrame, features: list[str], kind: str, labels: list[str], folds: list[int], one, at_once: int,
+                  whole: bool, changes: dict) -> CrossValidated:
+    if kind == "gbt" and len(labels) > 2 and whole:
+        fitted = boosting.fit_folds(rows, features, labels, folds, **changes)
+    else:
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            fitted = dict(pool.map(one, folds))
     out: DataFrame | None = None
     ranked: list[tuple[int, str, float]] = []
     for fold, model in fitted.items():
@@ -213,7 +230,6 @@ def cross_validate(df: DataFrame, features: list[str] | None = None, kind: str =
         out = part if out is None else out.unionByName(part)
         ranked += [(int(fold), f, v) for f, v in importances(model, features)]
     kept = written(out, "out-of-fold")
-    rows.unpersist()
     return CrossValidated(kind, features, labels, kept, ranked)
 
 
@@ -224,9 +240,10 @@ def train_final(df: DataFrame, features: list[str] | None = None, kind: str = "r
     shared_folder(df.sparkSession)
     rows, labels = prepared(df, features)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_model(rows, features, kind, labels, rows.count(), **changes)
-    rows.unpersist()
-    return model
+    try:
+        return fit_model(rows, features, kind, labels, rows.count(), **changes)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, features: list[str] | None = None) -> DataFrame:
