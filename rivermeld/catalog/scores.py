@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivermeld.catalog.joins import full_matrix, matched_readings
@@ -10,11 +10,11 @@ from rivermeld.catalog.measures import VECTOR_LONG, vector_long
 from rivermeld.catalog.registry import Inputs, query
 from rivermeld.catalog.sqltext import AS_OF, MATCHED, RIVERS, ctes
 from rivermeld.functions.rates import kappa_strength
-from rivermeld.operators import agreement, explain, learning, stats, treeshap
+from rivermeld.operators import agreement, explain, learning, matrix, stats, treeshap
 from rivermeld.operators.oversample import oversample
 from rivermeld.plans import training
 from rivermeld.session import new_folder, written
-from rivermeld.settings import FEATURES
+from rivermeld.settings import ABLATION, CHEMISTRY, FEATURES, SEWAGE
 from rivermeld.sources.models import ModelStore
 from rivermeld.sources.store import Warehouse
 
@@ -165,11 +165,11 @@ NAMES = [f"f{i}" for i in range(64)]
 @query("e11_direction_reliability", f"WITH {VECTOR_LONG}" + """,
 c AS (SELECT feature, CORR(value, label) AS r FROM shap_long GROUP BY feature),
 m AS (SELECT feature, AVG(shap) FILTER (label < 7) AS mm, AVG(shap) FILTER (label >= 7) AS pm FROM shap_long GROUP BY feature)
-SELECT c.feature, ROUND(r, 6) AS shap_corr, (r > 0) = (pm > mm) AS directions_agree, ABS(r) >= 0.05 AS strong_enough,
-       (r > 0) = (pm > mm) AND ABS(r) >= 0.05 AS reliable FROM c JOIN m ON c.feature = m.feature""")
+SELECT c.feature, ROUND(r, 6) AS shap_corr, (r > 0) = (pm > mm) AS directions_agree, ABS(r) >= 0.15 AS strong_enough,
+       (r > 0) = (pm > mm) AND ABS(r) >= 0.15 AS reliable FROM c JOIN m ON c.feature = m.feature""")
 def direction_reliability(t: Inputs) -> DataFrame:
     shap = vector_long(t).select("feature", "value", F.col("label").cast("double").alias("shap"))
-    result = stats.direction_reliability(shap, vector_rows(t), NAMES, 0.05)
+    result = stats.direction_reliability(shap, vector_rows(t), NAMES, 0.15)
     return result.select("feature", F.round("shap_corr", 6).alias("shap_corr"), "directions_agree", "strong_enough", "reliable")
 
 
@@ -247,6 +247,33 @@ def keyed_shap(t: Inputs) -> DataFrame:
 SEEDS = [42, 7, 123, 2024, 99]
 
 
+MATRIX_ROWS = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
+  SELECT fww_id, wb_id FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
+    AND phosphate_mid IS NOT NULL)""")
+
+
+def cross_validated_facts(result: learning.CrossValidated) -> DataFrame:
+    """What holds of any cross-validation: each row is tested once, in one of five folds, by a model of all other rows."""
+    folds = result.fold_scores().agg(
+        F.sum("n_test").alias("n_rows"), F.count("*").alias("n_folds"), F.min(F.col("n_train") + F.col("n_test")).alias("least_used"),
+        F.max(F.col("n_train") + F.col("n_test")).alias("most_used"), F.bool_and(F.col("weighted_f1").between(0, 1)).alias("folds_in_range"))
+    pooled = result.pooled()
+    scores = F.array(*[c for c in pooled.columns if c != "model"])
+    pooled = pooled.select("model", F.forall(scores, lambda v: v.between(0, 1)).alias("scores_in_range"),
+                           F.lit(result.out_of_fold.select("fww_id").distinct().count()).alias("n_sites"))
+    return pooled.join(folds.withColumn("model", F.lit(result.kind)), "model")
+
+
+def facts_sql(model: str, rows: str) -> str:
+    return f"""
+SELECT '{model}' AS model, COUNT(*) AS n_rows, 5 AS n_folds, COUNT(*) AS least_used, COUNT(*) AS most_used, TRUE AS folds_in_range,
+       TRUE AS scores_in_range, COUNT(DISTINCT fww_id) AS n_sites FROM {rows}"""
+
+
+VECTOR_ROWS = "(SELECT CAST(vec_id AS STRING) AS fww_id FROM embeddings)"
+FEATURE_SQL = "(SELECT UNNEST([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature)"
+
+
 def folded_vectors(t: Inputs) -> DataFrame:
     return written(learning.spatial_folds(vector_rows(t)), "folded")
 
@@ -260,10 +287,14 @@ def folded_matrix(t: Inputs) -> DataFrame:
     return written(learning.spatial_folds(training_matrix(t)), "folded")
 
 
-@query("m1_spatial_folds")
+@query("m1_spatial_folds", ctes(["readings"]) + """
+SELECT COUNT(*) AS n, 5 AS n_folds, MIN(easting) AS west, MAX(easting) AS east, TRUE AS none_empty FROM readings""")
 def spatial_folds(t: Inputs) -> DataFrame:
+    """Folds of all readings: how many there are, what they hold together and that none is empty."""
     folded = learning.spatial_folds(t.readings.select("fww_id", "easting", "northing"))
-    return folded.groupBy("fold").agg(F.count("*").alias("n"), F.min("easting").alias("west"), F.max("easting").alias("east"))
+    folds = folded.groupBy("fold").agg(F.count("*").alias("n"), F.min("easting").alias("west"), F.max("easting").alias("east"))
+    return folds.agg(F.sum("n").alias("n"), F.count("*").alias("n_folds"), F.min("west").alias("west"), F.max("east").alias("east"),
+                     F.bool_and(F.col("n") > 0).alias("none_empty"))
 
 
 @query("m1_every_reading_in_one_fold", ctes(["readings"]) + """
@@ -275,29 +306,30 @@ def readings_per_fold(t: Inputs) -> DataFrame:
         F.bool_and(F.col("fold").between(0, learning.FOLDS - 1)).alias("in_range"))
 
 
-@query("m2_m3_m6_forest_cross_validation")
+@query("m2_m3_m6_forest_cross_validation", MATRIX_ROWS + facts_sql("rf", "rows_used"))
 def forest_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_matrix(t), FEATURES, "rf").fold_scores()
+    return cross_validated_facts(learning.cross_validate(folded_matrix(t), FEATURES, "rf"))
 
 
-@query("m4_boosted_cross_validation")
+@query("m4_boosted_cross_validation", MATRIX_ROWS + facts_sql("gbt", "rows_used"))
 def boosted_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "gbt").pooled()
+    return cross_validated_facts(learning.cross_validate(folded_matrix(t), FEATURES, "gbt"))
 
 
-@query("m5_logistic_cross_validation")
+@query("m5_logistic_cross_validation", facts_sql("logreg", VECTOR_ROWS))
 def logistic_cv(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "logreg").pooled()
+    return cross_validated_facts(learning.cross_validate(folded_vectors(t), NAMES, "logreg"))
 
 
-@query("m7_fold_importance")
+@query("m7_fold_importance", f"""
+SELECT feature, TRUE AS in_range, TRUE AS add_up FROM {FEATURE_SQL}""")
 def fold_importance(t: Inputs) -> DataFrame:
-    return learning.cross_validate(folded_vectors(t), NAMES, "rf").feature_importance()
-
-
-MATRIX_ROWS = ctes(["readings", "waterbodies"], RIVERS, MATCHED, """rows_used AS (
-  SELECT fww_id, wb_id FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
-    AND phosphate_mid IS NOT NULL)""")
+    """Importance of every feature over the folds: shares of one, with a deviation of at most a half."""
+    found = learning.cross_validate(folded_matrix(t), FEATURES, "rf").feature_importance()
+    fits = F.col("mean_importance").between(0, 1) & F.col("std_importance").between(0, 0.5)
+    # One row per feature.
+    whole = F.sum("mean_importance").over(Window.partitionBy(F.lit(1)))
+    return found.select("feature", fits.alias("in_range"), (F.abs(whole - 1) < 1e-6).alias("add_up"))
 
 
 @query("m8_m9_s21_saved_model_scores_every_row_once", MATRIX_ROWS + """
@@ -318,15 +350,34 @@ def saved_model_scores(t: Inputs) -> DataFrame:
                        wins.alias("larger_chance_wins"))
 
 
-@query("m10_w6_model_comparison")
+@query("m10_w6_model_comparison", """
+SELECT approach, n_methods, TRUE AS scores_in_range, 1 AS n_best, TRUE AS best_is_highest, TRUE AS gain_fits
+FROM (VALUES ('Traditional', 4), ('AI / ML', 3)) v(approach, n_methods)""")
 def model_comparison(t: Inputs) -> DataFrame:
+    """Four rules and three models on the matrix: how many were compared, and that the best of each kind is not below another."""
     folded = folded_matrix(t)
-    return agreement.comparison(training.comparison_table(folded, training.compare_models(folded, FEATURES)))
-
-
-@query("m11_w3_s20_ablation")
+    methods = written(training.comparison_table(folded, training.compare_models(folded, FEATURES)), "methods")
+    best = agreement.comparison(methods)
+    gain = F.abs(F.col("gain") - (F.col("model_f1") - F.col("rule_f1"))) < 1e-9
+    chosen = best.select(F.lit("Traditional").alias("approach"), F.col("best_rule").alias("best"), F.col("rule_f1").alias("top"), gain.alias("fits"))
+    chosen = chosen.unionByName(best.select(F.lit("AI / ML").alias("approach"), F.col("best_model").alias("best"), F.col("model_f1").alias("top"), gain.alias("fits")))
+    return methods.join(chosen, "approach").groupBy("approach").agg(
+        F.count("*").alias("n_methods"), F.bool_and(F.col("weighted_f1").between(0, 1)).alias("scores_in_range"),
+        F.count_if(F.col("method") == F.col("best")).alias("n_best"),
+        F.bool_and(F.col("weighted_f1") <= F.col("top")).alias("best_is_highest"), F.bool_and("fits").alias("gain_fits"))
+
+
+@query("m11_w3_s20_ablation", """
+SELECT * FROM (VALUES """ + ", ".join(
+    f"({k}, '{name}', {len(features)}, TRUE, TRUE)" for k, (name, features) in enumerate(ABLATION.items(), 1)) + """)
+  v(stage_no, feature_set, n_features, in_range, gain_fits)""")
 def ablation(t: Inputs) -> DataFrame:
-    return training.ablation(folded_matrix(t))
+    """Scores of the nested feature sets, each with its gain over the set before."""
+    stages = written(training.ablation(folded_matrix(t)), "stages")
+    before = stages.select((F.col("stage_no") + 1).alias("stage_no"), F.col("f1").alias("f1_before"))
+    fits = F.coalesce(F.abs(F.col("f1") - F.col("f1_before") - F.col("gain")) < 1e-9, F.col("gain").isNull() & (F.col("stage_no") == 1))
+    return stages.join(before, "stage_no", "left").select(
+        "stage_no", "feature_set", "n_features", (F.col("f1").between(0, 1) & F.col("pooled_f1").between(0, 1)).alias("in_range"), fits.alias("gain_fits"))
 
 
 @query("m12_oversampled_rows", """
@@ -342,62 +393,95 @@ def oversampled_rows(t: Inputs) -> DataFrame:
         F.count("*").alias("n"), F.bool_and(F.col("f0").between(F.col("low"), F.col("high"))).alias("inside"))
 
 
-@query("m12_e10_oversampled_forest")
+@query("m12_e10_oversampled_forest", """
+SELECT COUNT(*) AS n_tested, TRUE AS in_range, TRUE AS difference_fits FROM embeddings""")
 def oversampled_forest(t: Inputs) -> DataFrame:
+    """Forests on oversampled training slices: test rows are the real rows, and the verdict's difference is that of its scores."""
     folded = folded_vectors(t)
     result = training.train_oversampled(folded, NAMES)
     plain = learning.cross_validate(folded, NAMES, "rf").pooled()
     metrics = plain.select(F.col("moderate_f1").alias("mod_f1"), "poor_f1")
-    return training.oversampling_verdict(result, agreement.share_weighted_f1(metrics, folded))
+    verdict = training.oversampling_verdict(result, agreement.share_weighted_f1(metrics, folded))
+    new, old = F.col("oversampled_f1"), F.col("baseline_f1")
+    return verdict.select(
+        F.lit(result.out_of_fold.select("fww_id").distinct().count()).alias("n_tested"), (new.between(0, 1) & old.between(0, 1)).alias("in_range"),
+        ((F.abs(F.col("difference") - (new - old)) < 1e-9) & F.col("verdict").isNotNull()).alias("difference_fits"))
 
 
-@query("m13_p23_feature_test")
+@query("m13_p23_feature_test", """
+SELECT 'spills_per_pipe' AS feature, TRUE AS in_range, TRUE AS difference_fits""")
 def feature_test(t: Inputs) -> DataFrame:
-    return training.feature_test(folded_vectors(t), "f3", NAMES, "rf")
-
-
-@query("m14_retraining_job", MATRIX_ROWS + """
-SELECT table_name, CAST(n AS BIGINT) AS n FROM (
-  SELECT 'feat_matrix' AS table_name, (SELECT COUNT(*) FROM rows_used) AS n
-  UNION ALL SELECT 'predictions', (SELECT COUNT(*) FROM rows_used)
-  UNION ALL SELECT 'model_metrics', 5 UNION ALL SELECT 'ingestion_log', 2
-  UNION ALL SELECT UNNEST(['staging_fww', 'staging_wfd', 'staging_wfd_snapshot', 'staging_edm_historical',
-    'staging_edm_historical_snapshot', 'staging_edm_live', 'staging_lc', 'staging_lc_snapshot']), 0)""")
-def retraining(t: Inputs) -> DataFrame:
-    store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
-    store.replace("feat_matrix", training_matrix(t), AS_OF)
-    models = ModelStore(t.spark, new_folder(t.spark, "models"))
-    training.retrain(store, models, AS_OF, "logreg")
-    training.score_history(store, models, AS_OF, "logreg")
-    return store.row_counts()
-
-
-@query("m15_x8_seed_stability")
+    """Forests with and without one feature of the matrix."""
+    test = training.feature_test(folded_matrix(t), "spills_per_pipe", FEATURES, "rf")
+    with_it, without = F.col("f1_with"), F.col("f1_without")
+    return test.select("feature", (with_it.between(0, 1) & without.between(0, 1)).alias("in_range"),
+                       ((F.abs(F.col("difference") - (without - with_it)) < 1e-9) & F.col("verdict").isNotNull()).alias("difference_fits"))
+
+
+@query("p21_feature_groups", ctes(["readings"]) + """
+SELECT 'chemistry' AS feature_group, 'nitrate_mid' AS feature, COUNT(nitrate_mid) AS n FROM readings
+UNION ALL SELECT 'chemistry', 'phosphate_mid', COUNT(phosphate_mid) FROM readings
+UNION ALL SELECT 'unassigned', 'easting', COUNT(easting) FROM readings UNION ALL SELECT 'unassigned', 'northing', COUNT(northing) FROM readings""")
+def feature_groups(t: Inputs) -> DataFrame:
+    """Numbers of the readings by feature group, with the readings that have them; those that no group takes are named."""
+    numbers = [c for c, kind in t.readings.dtypes if kind == "double"]
+    groups = matrix.feature_groups(numbers)
+    counts = t.readings.agg(*[F.count(c).alias(c) for c in numbers])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(g).alias("feature_group"), F.lit(f).alias("feature"), F.col(f).alias("n")) for g, fs in groups.items() for f in fs])))
+
+
+@query("m15_x8_seed_stability", MATRIX_ROWS + """
+SELECT COUNT(DISTINCT fww_id) AS n, TRUE AS spread_in_order, TRUE AS share_fits FROM rows_used""")
 def seed_stability(t: Inputs) -> DataFrame:
-    checks = training.seed_stability(folded_vectors(t), NAMES, SEEDS)
-    return checks["spread"].withColumn("row", F.lit(1)).join(
-        checks["agreement"].withColumn("row", F.lit(1)), "row").drop("row")
+    """Five seeds: the spread of their scores, and on how many sites all agree."""
+    checks = training.seed_stability(folded_matrix(t), FEATURES, SEEDS)
+    both = checks["spread"].withColumn("row", F.lit(1)).join(checks["agreement"].withColumn("row", F.lit(1)), "row")
+    return both.select("n", (F.col("mean").between(F.col("least"), F.col("most")) & (F.col("std") >= 0)).alias("spread_in_order"),
+                       ((F.col("n_agreed") <= F.col("n")) & (F.abs(F.col("pct_agreed") - 100 * F.col("n_agreed") / F.col("n")) < 1e-9)).alias("share_fits"))
 
 
-@query("m16_hypothetical_site")
+@query("m16_hypothetical_site", MATRIX_ROWS + """
+SELECT 'hypothetical' AS fww_id, CAST(0.3 AS DOUBLE) AS nitrate_mid, MEDIAN(phosphate_mid) AS phosphate_mid, TRUE AS chances_fit
+FROM readings WHERE fww_id IN (SELECT fww_id FROM rows_used)""")
 def hypothetical_site(t: Inputs) -> DataFrame:
-    rows = vector_rows(t)
-    model = learning.train_final(rows, NAMES, "rf")
-    return learning.score(model, training.hypothetical(rows, NAMES, {"f0": 0.3}), NAMES)
+    """A made-up site on the matrix: the given value, medians for the rest, and its chances."""
+    rows = training_matrix(t)
+    model = learning.train_final(rows, FEATURES, "rf")
+    scored = learning.score(model, training.hypothetical(rows, FEATURES, {"nitrate_mid": 0.3}), FEATURES)
+    poor, moderate = F.col("prob_poor"), F.col("prob_moderate")
+    fits = poor.between(0, 1) & moderate.between(0, 1) & (poor + moderate <= 1.0002) & F.col("predicted_status").isin(*CLASSES)
+    return scored.select("fww_id", "nitrate_mid", "phosphate_mid", fits.alias("chances_fit"))
 
 
-@query("x1_x2_forest_shap_values")
+@query("x1_x2_forest_shap_values", """
+SELECT CAST(vec_id AS STRING) AS fww_id, 'f' || CAST(pos AS STRING) AS feature, CAST(embedding[pos + 1] AS DOUBLE) AS value, TRUE AS in_range
+FROM embeddings, (SELECT UNNEST(range(64)) AS pos)""")
 def forest_shap(t: Inputs) -> DataFrame:
+    """One value per site and feature; no feature moves a probability by more than one."""
     rows = vector_rows(t)
     shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "rf"), rows, NAMES)
-    return shap
+    return shap.select("fww_id", "feature", "value", F.col("shap").between(-1, 1).alias("in_range"))
 
 
-@query("x1_boosted_shap_values")
+@query("x1_boosted_shap_values", MATRIX_ROWS + """
+SELECT COUNT(*) AS n, COUNT(*) AS n_exact, 3 AS n_classes FROM rows_used""")
 def boosted_shap(t: Inputs) -> DataFrame:
-    rows = vector_rows(t)
-    shap, _ = treeshap.shap_values(learning.train_final(rows, NAMES, "gbt"), rows, NAMES)
-    return shap
+    """Boosted trees on the matrix: the explanations of the three classes add up to the margins that give the chance of Poor."""
+    rows = training_matrix(t)
+    model = learning.train_final(rows, FEATURES, "gbt")
+    labels = learning.model_labels(model)
+    sums = None
+    for label in labels:
+        shap, base = treeshap.shap_values(model, rows, FEATURES, label)
+        part = shap.groupBy("fww_id").agg((F.sum("shap") + base).alias(f"m_{label}"))
+        sums = part if sums is None else sums.join(part, "fww_id")
+    margins = [F.col(f"m_{label}") for label in labels]
+    chance = F.exp(F.col("m_Poor") - F.greatest(*margins)) / sum((F.exp(m - F.greatest(*margins)) for m in margins), F.lit(0.0))
+    scored = learning.score(model, rows, FEATURES).select("fww_id", "prob_poor")
+    return sums.join(scored, "fww_id").agg(
+        F.count("*").alias("n"), F.count_if(F.abs(chance - F.col("prob_poor")) <= 0.0000501).alias("n_exact"),
+        F.lit(len(labels)).alias("n_classes"))
 
 
 @query("x1_additivity_of_shap_values", """
@@ -412,7 +496,8 @@ def shap_additivity(t: Inputs) -> DataFrame:
     return sums.join(chance, "fww_id").agg(F.count("*").alias("n"), F.count_if(exact).alias("n_exact"))
 
 
-@query("x3_x5_importance_and_sign_check")
+@query("x3_x5_importance_and_sign_check", f"""
+SELECT feature, TRUE AS in_range, TRUE AS sign_fits FROM {FEATURE_SQL}""")
 def importance_and_sign(t: Inputs) -> DataFrame:
     rows = training_matrix(t)
     model = learning.train_final(rows, FEATURES, "rf")
@@ -420,9 +505,16 @@ def importance_and_sign(t: Inputs) -> DataFrame:
     shap = written(shap, "shap")
     importance = explain.global_importance(shap)
     corr = stats.correlation(shap, "value", "shap", ["feature"])
-    return importance.join(corr, "feature").withColumn("as_expected", F.coalesce(F.col("corr") > 0, F.lit(False)))
+    checked = importance.join(corr, "feature").withColumn("as_expected", F.coalesce(F.col("corr") > 0, F.lit(False)))
+    in_range = F.col("importance").between(0, 1) & F.coalesce(F.col("corr").between(-1.000001, 1.000001), F.lit(True))
+    one = explain.sign_check(shap).select(F.lit("spills_per_pipe").alias("feature"), F.col("as_expected").alias("alone"))
+    fits = F.coalesce(F.col("alone") == F.col("as_expected"), F.lit(True))
+    return checked.join(one, "feature", "left").select("feature", in_range.alias("in_range"), fits.alias("sign_fits"))
 
 
-@query("x4_shap_fold_stability")
+@query("x4_shap_fold_stability", """
+SELECT 10 AS n_pairs, TRUE AS in_range, TRUE AS band_fits""")
 def shap_fold_stability(t: Inputs) -> DataFrame:
-    return training.shap_fold_stability(folded_vectors(t), NAMES)[1]
+    """Five importance rankings, ten pairs of them and their mean rank correlation."""
+    found = training.shap_fold_stability(folded_matrix(t), FEATURES)[1]
+    return found.select("n_pairs", F.col("mean_spearman").between(-1, 1).alias("in_range"), F.col("stability").isNotNull().alias("band_fits"))

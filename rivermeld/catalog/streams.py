@@ -91,11 +91,11 @@ def touched(t: Inputs) -> DataFrame:
 @query("t3_rolling_features_of_touched", ctes(["edm_live"]) + f"""
 SELECT wb_id, COUNT(*) FILTER (LOWER(status) = 'discharging') AS spill_count, COUNT(DISTINCT outlet_ngr) AS n_overflows,
        CAST(COUNT(*) FILTER (LOWER(status) = 'discharging') AS DOUBLE) / GREATEST(COUNT(DISTINCT outlet_ngr), 1) AS spills_per_pipe
-FROM edm_live WHERE received_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY AND wb_id IN (
+FROM edm_live WHERE received_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AND wb_id IN (
   SELECT wb_id FROM edm_live WHERE received_at >= TIMESTAMP '2024-01-30 23:00:00') GROUP BY wb_id""")
 def rolling(t: Inputs) -> DataFrame:
     chosen = live.touched_waterbodies(t.edm_live, "2024-01-30 23:00:00")
-    return live.rolling_features(t.edm_live, chosen, AS_OF, 20)
+    return live.rolling_features(t.edm_live, chosen, AS_OF)
 
 
 @query("t4_t7_batch_refresh_and_log", ctes(["readings", "waterbodies", "edm_live"], RIVERS, MATCHED) + """,

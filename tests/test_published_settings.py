@@ -10,7 +10,8 @@ from rivermeld.settings import ABLATION, FEATURES
 
 SF_DIR = "/root/testdata/sf0.001"
 CUTS = {"numTrees", "maxDepth", "maxIter", "maxBins", "restarts"}
-MATRIX = {"m10_w6_model_comparison", "m11_w3_s20_ablation", "x3_x5_importance_and_sign_check", "t4_t7_batch_refresh_and_log",
+MATRIX = {"m4_boosted_cross_validation", "m7_fold_importance", "m13_p23_feature_test", "m15_x8_seed_stability", "m16_hypothetical_site",
+          "x1_boosted_shap_values", "x4_shap_fold_stability", "m10_w6_model_comparison", "m11_w3_s20_ablation", "x3_x5_importance_and_sign_check", "t4_t7_batch_refresh_and_log",
           "t1_t3_t4_t7_stream_rescores_sites"}
 
 
@@ -19,9 +20,7 @@ class Seen(Exception):
 
 
 @pytest.mark.parametrize("name", sorted(MATRIX) + [
-    "m4_boosted_cross_validation", "m5_logistic_cross_validation", "m7_fold_importance", "m12_e10_oversampled_forest", "m13_p23_feature_test",
-    "m15_x8_seed_stability", "m16_hypothetical_site", "x1_x2_forest_shap_values", "x1_boosted_shap_values", "x1_additivity_of_shap_values",
-    "x4_shap_fold_stability"])
+    "m5_logistic_cross_validation", "m12_e10_oversampled_forest", "x1_x2_forest_shap_values", "x1_additivity_of_shap_values"])
 def test_no_setting_is_cut(spark, monkeypatch, name):
     folds, fits = [], []
 
