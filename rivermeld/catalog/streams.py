@@ -15,6 +15,7 @@ from rivermeld.session import new_folder, written
 from rivermeld.settings import FEATURES
 from rivermeld.sources.driver_views import VIEWS
 from rivermeld.sources.store import Warehouse
+from rivermeld.streaming import discharges
 from rivermeld.streaming import live as streams
 
 def stream_of(t: Inputs, name: str) -> DataFrame:
@@ -178,3 +179,31 @@ def incremental_build(t: Inputs) -> DataFrame:
     store.append("staging_fww", rows.where(~early))
     build.append_new(store, "2001-12-31 00:00:00")
     return store.read("feat_matrix").select("fww_id", "wb_id", "wfd_status", "match_q")
+
+
+@query("t10_open_and_ended_discharges", ctes(["edm_live"]) + """,
+mark AS (SELECT epoch_ms(MAX(received_at)) - 3600000 AS w FROM edm_live),
+polls AS (SELECT company, outlet_ngr, received_at AS t, BOOL_OR(LOWER(status) = 'discharging') AS discharging
+          FROM edm_live, mark WHERE epoch_ms(received_at) < w GROUP BY ALL),
+marked AS (SELECT *, LAG(t) OVER o AS before_t, LAG(discharging) OVER o AS before_on, LEAD(t) OVER o AS after_t, LEAD(discharging) OVER o AS after_on
+           FROM polls WINDOW o AS (PARTITION BY company, outlet_ngr ORDER BY t)),
+starts AS (SELECT *, CASE WHEN before_on AND t - before_t < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM marked WHERE discharging),
+runs AS (SELECT *, SUM(fresh) OVER (PARTITION BY company, outlet_ngr ORDER BY t) AS run FROM starts)
+SELECT company, outlet_ngr, MIN(t) AS first_seen, MAX(t) AS last_seen, COUNT(*) AS n_polls,
+       CASE WHEN MAX_BY(after_t, t) IS NULL OR MAX_BY(after_t, t) - MAX(t) >= INTERVAL 30 MINUTE THEN
+              CASE WHEN MAX_BY(after_t, t) IS NULL AND epoch_ms(MAX(t)) + 1800000 >= MIN(w) THEN 'open' ELSE 'silence' END
+            ELSE 'change' END AS ended
+FROM runs, mark GROUP BY company, outlet_ngr, run""")
+def open_and_ended(t: Inputs) -> DataFrame:
+    """The feed in four landings by time; the stream is started again after each and goes on from its checkpoint."""
+    rows = t.edm_live.withColumn("received_at", F.col("received_at").cast("timestamp"))
+    span = rows.agg(F.min(F.unix_micros("received_at")).alias("a"), F.max(F.unix_micros("received_at")).alias("b")).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("received_at") - (span["a"] or 0)) * 4 / max((span["b"] or 0) - (span["a"] or 0), 1)))
+    landing, out = new_folder(t.spark, "landing"), new_folder(t.spark, "stream")
+    for part in range(4):
+        rows.where(quarter == part).write.mode("append").parquet(landing)
+        found = discharges.discharge_states(t.spark.readStream.schema(rows.schema).parquet(landing))
+        streams.write_stream(found, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    runs = discharges.current_discharges(t.spark.read.schema(found.schema).parquet(f"{out}/rows"))
+    return runs.select("company", "outlet_ngr", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
+                       F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n_polls", "ended")
