@@ -10,7 +10,7 @@ from rivermeld.catalog.registry import Inputs, query
 from rivermeld.catalog.sqltext import AS_OF, MATCHED, RIVERS, ctes
 from rivermeld.operators import learning, matrix
 from rivermeld.operators.nearest import index_places
-from rivermeld.plans import build, live
+from rivermeld.plans import build, live, rolling
 from rivermeld.session import new_folder, written
 from rivermeld.settings import FEATURES
 from rivermeld.sources.driver_views import VIEWS
@@ -41,6 +41,14 @@ def landed_in_days(t: Inputs) -> str:
     return path
 
 
+def time_quarter(rows: DataFrame):
+    """The quarter of the whole time span in which a row was received, 0 to 3."""
+    at = F.unix_micros("received_at")
+    span = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    first = span["a"] or 0
+    return F.least(F.lit(3), F.floor((at - first) * 4 / max((span["b"] or 0) - first, 1)))
+
+
 def matrix_store(t: Inputs) -> Warehouse:
     """A warehouse with the matrix of all readings."""
     store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
@@ -94,11 +102,37 @@ SELECT wb_id, COUNT(*) FILTER (LOWER(status) = 'discharging') AS spill_count, CO
        CAST(COUNT(*) FILTER (LOWER(status) = 'discharging') AS DOUBLE) / GREATEST(COUNT(DISTINCT outlet_ngr), 1) AS spills_per_pipe
 FROM edm_live WHERE received_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AND wb_id IN (
   SELECT wb_id FROM edm_live WHERE received_at >= TIMESTAMP '2024-01-30 23:00:00') GROUP BY wb_id""")
-def rolling(t: Inputs) -> DataFrame:
+def rolling_of_touched(t: Inputs) -> DataFrame:
     chosen = live.touched_waterbodies(t.edm_live, "2024-01-30 23:00:00")
     return live.rolling_features(t.edm_live, chosen, AS_OF)
 
 
+KEPT = """SELECT {days} AS window_days, wb_id, COUNT(*) FILTER (LOWER(status) = 'discharging') AS spill_count, COUNT(DISTINCT outlet_ngr) AS n_overflows
+FROM edm_live, last WHERE wb_id IS NOT NULL AND received_at >= newest - INTERVAL {days} DAY GROUP BY wb_id"""
+
+
+@query("t3_features_kept_by_batches", ctes(["edm_live"]) + """, last AS (SELECT MAX(received_at) AS newest FROM edm_live)
+""" + KEPT.format(days=365) + " UNION ALL " + KEPT.format(days=10))
+def kept_features(t: Inputs) -> DataFrame:
+    """The feed in four batches by time; features of all waterbodies after the last, over a year and over ten days, of which most expire."""
+    store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
+    feed = t.edm_live.withColumn("received_at", F.col("received_at").cast("timestamp"))
+    quarter = time_quarter(feed)
+    parts = []
+    for part in range(4):
+        store.append("staging_edm_live", feed.where(quarter == part), batch=f"b{part}")
+        landed = store.read_batch("staging_edm_live", f"b{part}")
+        newest = landed.agg(F.max("received_at").cast("string")).first()[0]
+        for days in (365, 10):
+            if newest is not None:
+                rolling.advance(store, f"b{part}", newest, landed, days)
+                last = (f"b{part}", newest)
+    for days in (365, 10):
+        every = feed.select("wb_id").where("wb_id IS NOT NULL").distinct()
+        parts.append(rolling.features(store, *last, every, days).select(F.lit(days).alias("window_days"), "wb_id", "spill_count", "n_overflows"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("t4_t7_batch_refresh_and_log", ctes(["readings", "waterbodies", "edm_live"], RIVERS, MATCHED) + """,
 n AS (SELECT COUNT(*) AS n FROM matched WHERE country = 'England' AND match_q <> 'poor' AND nitrate_mid IS NOT NULL
         AND phosphate_mid IS NOT NULL AND wb_id IN (SELECT wb_id FROM edm_live))
@@ -197,8 +231,7 @@ FROM runs, mark GROUP BY company, outlet_ngr, run""")
 def open_and_ended(t: Inputs) -> DataFrame:
     """The feed in four landings by time; the stream is started again after each and goes on from its checkpoint."""
     rows = t.edm_live.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    span = rows.agg(F.min(F.unix_micros("received_at")).alias("a"), F.max(F.unix_micros("received_at")).alias("b")).first()
-    quarter = F.least(F.lit(3), F.floor((F.unix_micros("received_at") - (span["a"] or 0)) * 4 / max((span["b"] or 0) - (span["a"] or 0), 1)))
+    quarter = time_quarter(rows)
     landing, out = new_folder(t.spark, "landing"), new_folder(t.spark, "stream")
     for part in range(4):
         rows.where(quarter == part).write.mode("append").parquet(landing)

@@ -12,12 +12,12 @@ from rivermeld.operators.keyed import distinct_tuples
 from rivermeld.operators.learning import prediction_rows, score
 from rivermeld.operators.sewage import live_per_waterbody, live_totals, overwrite_with_live
 from rivermeld.plans.reports import last_success, since
+from rivermeld.plans.rolling import WINDOW_DAYS
 from rivermeld.settings import CHEMISTRY, FEATURES, LAND
 from rivermeld.sources.store import Warehouse
 
 FIRST_CUTOFF = "2000-01-01 00:00:00"
 JOB = "live_inference"
-WINDOW_DAYS = 365
 
 
 def touched_waterbodies(feed: DataFrame, cutoff: str) -> DataFrame:
@@ -49,10 +49,11 @@ def latest_slices(readings: DataFrame, feed: DataFrame, land: DataFrame, as_of:
 
 
 def refresh(store: Warehouse, model: PipelineModel, as_of: str, batch: str | None = None,
-            touched: DataFrame | None = None, names: list[str] | None = None) -> str:
+            touched: DataFrame | None = None, names: list[str] | None = None, features: DataFrame | None = None) -> str:
     """One live run; returns the logged status.
 
-    Only a run that scored rows moves the cutoff. With `batch`, rerunning the batch replaces its own rows.
+    Only a run that scored rows moves the cutoff. With `batch`, rerunning the batch replaces its own rows. `features` of the touched
+    waterbodies may come from a kept state (`rolling`); else the days of the window are read.
     """
     day = date.fromisoformat(as_of[:10])
     feed = store.read_days("staging_edm_live", str(day - timedelta(days=WINDOW_DAYS + 1)), str(day + timedelta(days=1)))
@@ -66,7 +67,8 @@ def refresh(store: Warehouse, model: PipelineModel, as_of: str, batch: str | Non
         if n_touched == 0:
             store.log_run(JOB, 0, 0, "no_new_data", as_of, batch=entry)
             return "no_new_data"
-        features = rolling_features(feed, touched, as_of, WINDOW_DAYS)
+        if features is None:
+            features = rolling_features(feed, touched, as_of, WINDOW_DAYS)
         if features.isEmpty():
             store.log_run(JOB, n_touched, 0, "skipped", as_of, batch=entry)
             return "skipped"

@@ -36,7 +36,7 @@ class Warehouse:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def _finished(self, path: str, prefix: str) -> list[str]:
+    def finished(self, path: str, prefix: str) -> list[str]:
         """Names of child folders with the prefix whose write finished, in name order."""
         files, marks = self._files(f"{path}/{prefix}*/_SUCCESS")
         # One listing by pattern, whatever the number of folders.
@@ -49,10 +49,10 @@ class Warehouse:
 
     def _current(self, path: str) -> list[str]:
         """Folders of the newest version: the version itself and the parts added to it."""
-        folders = self._finished(path, "version=")
+        folders = self.finished(path, "version=")
         return [f for f in folders if self._version(f) == self._version(folders[-1])]
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         files, target = self._files(path)
         files.delete(target, True)
 
@@ -65,7 +65,7 @@ class Warehouse:
     # ---- reading ---------------------------------------------------------------------------------
     def exists(self, name: str) -> bool:
         prefix = "version=" if TABLES[name].mode == "replace" else "batch="
-        return bool(self._finished(f"{self.root}/{name}", prefix))
+        return bool(self.finished(f"{self.root}/{name}", prefix))
 
     def read(self, name: str) -> DataFrame:
         """Current rows of a table; an unwritten table is empty."""
@@ -74,7 +74,7 @@ class Warehouse:
         if entry.mode == "replace":
             chosen = self._current(path)
         else:
-            chosen = self._finished(path, "batch=")
+            chosen = self.finished(path, "batch=")
         if not chosen:
             return self.spark.createDataFrame([], entry.schema)
         schema = entry.schema
@@ -88,7 +88,7 @@ class Warehouse:
         entry = TABLES[name]
         path = f"{self.root}/{name}"
         schema = T.StructType([*entry.schema.fields, T.StructField("day", T.DateType())])
-        chosen = self._finished(path, "batch=")
+        chosen = self.finished(path, "batch=")
         if not chosen:
             return self.spark.createDataFrame([], entry.schema)
         rows = self.spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{c}" for c in chosen])
@@ -147,7 +147,7 @@ class Warehouse:
         stamp = next((c for c in ("loaded_at", "recorded_at") if c in names), None)
         if stamp:
             df = df.withColumn(stamp, at_time(as_of))
-        versions = self._finished(f"{self.root}/{name}", "version=")
+        versions = self.finished(f"{self.root}/{name}", "version=")
         number = self._version(versions[-1]) + 1 if versions else 0
         self._write(name, df, f"{self.root}/{name}/version={number:08d}")
 
@@ -161,7 +161,7 @@ class Warehouse:
         if stamp:
             df = df.withColumn(stamp, at_time(as_of))
         path = f"{self.root}/{name}"
-        current = self._finished(path, "version=") and self._current(path)
+        current = self.finished(path, "version=") and self._current(path)
         if not current:
             folder = f"{path}/version={0:08d}"
         else:
@@ -175,11 +175,11 @@ class Warehouse:
     def prune(self, name: str, keep: int = 2) -> int:
         """Remove all but the newest `keep` versions of a replaced table; returns how many folders went."""
         path = f"{self.root}/{name}"
-        folders = self._finished(path, "version=")
+        folders = self.finished(path, "version=")
         numbers = sorted({self._version(f) for f in folders})[-keep:]
         old = [f for f in folders if self._version(f) not in numbers]
         for folder in old:
-            self._remove(f"{path}/{folder}")
+            self.remove(f"{path}/{folder}")
         return len(old)
 
     def drop_days(self, name: str, before: str) -> int:

@@ -18,7 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 from rivermeld.functions.rates import is_discharging, usable_position
 from rivermeld.operators.keyed import distinct_tuples
 from rivermeld.operators.nearest import PlaceIndex
+from rivermeld.plans import rolling
 from rivermeld.plans.live import refresh
+from rivermeld.plans.reports import last_success
+from rivermeld.session import written
 from rivermeld.sources.files import LIVE_SCHEMA
 from rivermeld.sources.store import Warehouse
 
@@ -73,10 +76,15 @@ def ingest(feed: DataFrame, index: PlaceIndex, store: Warehouse, checkpoint: str
         if seen["n"] == 0:
             store.log_run("edm_live", 0, 0, "failed", now(), "the poll was empty", batch=f"edm-{key}")
             return
-        store.log_run("edm_live", seen["n"], seen["matched"], "success", seen["newest"], batch=f"edm-{key}")
+        # A backfilled poll is scored as of the newest time known, so that its scores are the latest ones.
+        reached = last_success(store.read("ingestion_log").where(F.col("source") == "edm_live"), "edm_live").first()["last_run"]
+        newest = max(filter(None, (seen["newest"], str(reached) if reached else None)))
+        store.log_run("edm_live", seen["n"], seen["matched"], "success", newest, batch=f"edm-{key}")
         if model is not None:
-            touched = distinct_tuples(landed.where(F.col("wb_id").isNotNull()), ["wb_id"])
-            refresh(store, model, seen["newest"], batch=key, touched=touched, names=names)
+            touched = written(distinct_tuples(landed.where(F.col("wb_id").isNotNull()), ["wb_id"]), "touched")
+            rolling.advance(store, key, newest, landed)
+            refresh(store, model, newest, batch=key, touched=touched, names=names,
+                    features=rolling.features(store, key, newest, touched))
 
     return (feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(**({"processingTime": every} if every else {"availableNow": True})).start())
