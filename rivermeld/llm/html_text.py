@@ -11,12 +11,15 @@ Only pages that keep text inside a recurring container need the first pass's res
 while their number is below a checked limit and by a shuffle join beyond it.
 
 Defined cases: a null or empty page has empty text; a null url is the host ''; repeated rows get a result each and count
-once; an empty table gives an empty result; broken markup is read as far as it goes; other columns are not read.
+once; an empty table gives an empty result; broken markup is read as far as it goes; elements may be nested to any depth and pages be
+of any length; other columns are not read. A class name that holds a word of furniture beside words of its own ("entry-header",
+"has-sidebar") says nothing; where classes leave no text at all, those around an article or its heading are not heeded.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -51,7 +54,11 @@ FURNITURE = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus respond reply replies widget pagination pager toolbar skip skiplink outbrain taboola paywall".split())
-DEEPEST = 300
+#: Words that may stand beside those in one class name without changing its sense: "site-footer", "related-posts".
+NEUTRAL = frozenset(
+    "site page global top bottom left right primary secondary main box block wrap wrapper container inner outer area section "
+    "list item items link links button buttons bar slot unit zone row col column group module panel form post posts articles "
+    "stories icon icons count title text large small desktop mobile fixed sticky wp js".split())
 KEPT = frozenset({"html", "body", "article", "main"})
 
 _MARK = re.compile(r"<(?:!--|[!?/a-zA-Z])")
@@ -95,6 +102,13 @@ def parse(html: str) -> Node:
     """A tree of elements with their texts; forgiving of unclosed and stray tags."""
     root = Node("html", "", [])
     stack, at, n = [root], 0, len(html)
+    opened: Counter = Counter()  # of tags on the stack, so that stray tags do not search it
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     while at < n:
         m = _MARK.search(html, at)
         if m is None:
@@ -119,25 +133,23 @@ def parse(html: str) -> Node:
             continue
         tag = name.group().lower()
         if kind == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "html":
             continue
-        if tag in BLOCK:  # an open paragraph ends where a block begins
+        if tag in BLOCK and opened["p"]:  # an open paragraph ends where a block begins
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
             closed, limit = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closed:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in limit:
                     break
@@ -153,13 +165,26 @@ def parse(html: str) -> Node:
                 after = html.find(">", close.end())
                 at = n if after < 0 else after + 1
             continue
-        if len(stack) < DEEPEST:  # what lies deeper stays as text of the element above
-            stack.append(node)
+        stack.append(node)
+        opened[tag] += 1
     return root
 
 
-def _furniture(node: Node) -> bool:
-    """Whether tag, role, class, id or style say that the element is no part of the article."""
+def _named_furniture(value: str, inside_main: bool) -> bool:
+    """Whether a class or id says furniture: one name with such a word and, beside it, neutral words only.
+
+    "sidebar" and "site-footer" do; "has-sidebar", "entry-header" and "related-work" do not. A header inside the article is its own.
+    """
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        marks = words & FURNITURE
+        if marks and words <= FURNITURE | NEUTRAL and not (inside_main and marks <= {"header", "masthead"}):
+            return True
+    return False
+
+
+def _furniture(node: Node, inside_main: bool = False, spared: frozenset = frozenset()) -> bool:
+    """Whether tag, role, class, id or style say that the element is no part of the article; classes of `spared` say nothing."""
     tag = node.tag
     if tag in DROPPED:
         return True
@@ -168,7 +193,7 @@ def _furniture(node: Node) -> bool:
     for key, value in _ATTRIBUTE.findall(node.attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if not FURNITURE.isdisjoint(_WORD.findall(value)):
+            if id(node) not in spared and _named_furniture(value, inside_main):
                 return True
         elif key == "role":
             if value in ROLES:
@@ -181,7 +206,7 @@ def _furniture(node: Node) -> bool:
     return False
 
 
-def _main(node: Node) -> list[Node]:
+def _main(node: Node, spared: frozenset = frozenset()) -> list[Node]:
     """The articles of the page, else its main element, else nothing; not those inside furniture."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     stack = [node]
@@ -192,33 +217,65 @@ def _main(node: Node) -> list[Node]:
             continue
         if x.tag == "main" or 'role="main"' in x.attributes:
             found["main"].append(x)
-        stack.extend(c for c in reversed(x.inside) if not isinstance(c, str) and not _furniture(c))
+        stack.extend(c for c in reversed(x.inside) if not isinstance(c, str) and not _furniture(c, False, spared))
     return found["article"] or found["main"]
 
 
 def _hinted_article(node: Node) -> bool:
     """An article that is a comment or an advert by its class."""
-    return any(k.lower() in ("class", "id") and not FURNITURE.isdisjoint(_WORD.findall(v.lower()))
+    return any(k.lower() in ("class", "id") and _named_furniture(v.strip("\"'").lower(), False)
                for k, v in _ATTRIBUTE.findall(node.attributes))
 
 
-def _digest(node: Node, out: list[tuple[int, Node]]) -> str:
-    """A text that stands for the subtree; containers with text are added to `out` with their hash."""
+def _around_articles(root: Node) -> frozenset:
+    """Elements that hold an article, a main element or a first heading."""
+    around: set[int] = set()
+    stack = [(root, iter(root.inside))]
+    while stack:
+        node, rest = stack[-1]
+        x = next(rest, None)
+        if x is None:
+            stack.pop()
+        elif not isinstance(x, str):
+            if x.tag in ("article", "main", "h1"):
+                for held, _ in reversed(stack):
+                    if id(held) in around:
+                        break
+                    around.add(id(held))
+            stack.append((x, iter(x.inside)))
+    return frozenset(around)
+
+
+def _digest(root: Node, out: list[tuple[int, Node]]) -> None:
+    """Adds the containers with text below `root` to `out`, each with the hash of its subtree."""
     import xxhash
 
-    parts = []
-    for x in node.inside:
-        parts.append(" ".join(x.split()) if isinstance(x, str) else "" if x.tag in RAW else _digest(x, out))
-    held = " ".join(p for p in parts if p)
-    if not held:
-        return ""
-    held = f"<{node.tag}>{held}"
-    if node.tag in CONTAINER:
-        code = xxhash.xxh64_intdigest(held.encode("utf-8", "replace"))
-        code -= (code >> 63) << 64
-        out.append((code, node))
-        return f"<{node.tag} {code}>"
-    return held
+    def code_of(text: str) -> int:
+        code = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+        return code - ((code >> 63) << 64)
+
+    stack: list[tuple[Node, Iterator, list[str]]] = [(root, iter(root.inside), [])]
+    while stack:
+        node, rest, parts = stack[-1]
+        x = next(rest, None)
+        if isinstance(x, str):
+            parts.append(" ".join(x.split()))
+        elif x is not None:
+            if x.tag not in RAW:
+                stack.append((x, iter(x.inside), []))
+        else:
+            stack.pop()
+            held = " ".join(p for p in parts if p)
+            if not held:
+                continue
+            held = f"<{node.tag}>{held}"
+            if node.tag in CONTAINER:
+                out.append((code_of(held), node))
+                held = f"<{node.tag} {out[-1][0]}>"
+            elif len(held) > 500:  # so that deep nesting does not copy long texts again and again
+                held = f"<{node.tag} {code_of(held)}>"
+            if stack:
+                stack[-1][2].append(held)
 
 
 def text_of(html: str | None, recurring: frozenset = frozenset()) -> tuple[str, list[int], list[int]]:
@@ -229,53 +286,68 @@ def text_of(html: str | None, recurring: frozenset = frozenset()) -> tuple[str,
     containers: list[tuple[int, Node]] = []
     _digest(root, containers)
     codes = {id(node): code for code, node in containers}
+    blocks, live = _kept(root, codes, recurring, frozenset())
+    if not blocks:  # a class of an element around the whole article said too much
+        spared = _around_articles(root)
+        blocks, live = _kept(root, codes, recurring, spared) if spared else (blocks, live)
+    return "\n".join(blocks), [c for c, _ in containers], sorted(live)
+
+
+def _kept(root: Node, codes: dict[int, int], recurring: frozenset, spared: frozenset) -> tuple[list[str], set[int]]:
+    """The blocks of the main text and the hashes of containers that hold some of it."""
     blocks: list[str] = []
     current: list[str] = []
     live: set[int] = set()
 
-    def end_block() -> bool:
+    def end_block() -> None:
         line = " ".join(unescape("".join(current)).split())
         current.clear()
         if line:
             blocks.append(line)
-        return bool(line)
 
-    def walk(node: Node, inside_main: bool) -> bool:
-        """Whether the element kept text."""
-        block, kept = node.tag in BLOCK, False
-        if block:
+    def walk(start: Node, inside_main: bool) -> None:
+        # A frame: the element, what is left of it, whether it kept text.
+        frames = [[start, iter(start.inside), False]]
+        if start.tag in BLOCK:
             end_block()
-        for x in node.inside:
-            if isinstance(x, str):
+        while frames:
+            frame = frames[-1]
+            node = frame[0]
+            x = next(frame[1], None)
+            if x is None:
+                if node.tag in ("td", "th"):
+                    current.append(" ")
+                if node.tag in BLOCK:
+                    end_block()
+                if frame[2] and id(node) in codes:
+                    live.add(codes[id(node)])
+                frames.pop()
+                if frames:
+                    frames[-1][2] = frames[-1][2] or frame[2]
+            elif isinstance(x, str):
                 current.append(x)
-                kept = kept or not x.isspace()
-            elif x.tag in ("br", "td", "th"):
+                frame[2] = frame[2] or not x.isspace()
+            elif x.tag == "br":
                 current.append(" ")
-                if x.tag != "br":
-                    kept = walk(x, inside_main) or kept
-                    current.append(" ")
-            elif x.tag == "header" and inside_main:
-                kept = walk(x, True) or kept  # the heading of the article itself
-            elif x.tag == "header" or _furniture(x) or x.tag == "article" and _hinted_article(x):
+            elif x.tag == "header" and not inside_main or x.tag != "header" and (
+                    _furniture(x, inside_main, spared) or x.tag == "article" and _hinted_article(x)):
                 if x.tag in BLOCK:
                     end_block()
-            elif codes.get(id(x)) in recurring:
+            elif x.tag not in ("td", "th", "header") and codes.get(id(x)) in recurring:
                 end_block()
             else:
-                kept = walk(x, inside_main) or kept
-        if block:
-            end_block()
-        if kept and id(node) in codes:
-            live.add(codes[id(node)])
-        return kept
+                if x.tag in ("td", "th"):
+                    current.append(" ")
+                if x.tag in BLOCK:
+                    end_block()
+                frames.append([x, iter(x.inside), False])
 
-    main = _main(root)
+    main = _main(root, spared)
     for node in main or [root]:
-        if codes.get(id(node)) in recurring:
-            continue
-        walk(node, bool(main))
-        end_block()
-    return "\n".join(blocks), [c for c, _ in containers], sorted(live)
+        if codes.get(id(node)) not in recurring:
+            walk(node, bool(main))
+            end_block()
+    return blocks, live
 
 
 TRACKING = r"#.*$|(?<=[?&])utm_[a-z]+=[^&#]*&?"

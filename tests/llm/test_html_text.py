@@ -24,7 +24,15 @@ SF_DIR = "/root/testdata/sf0.01"
     ("<table><tr><td>a<td>b<tr><th>c</table>", "a b\nc"), ("<p hidden>h</p><p style='display: none'>d</p><p>v</p>", "v"),
     ("<div role=navigation>n</div><div aria-hidden=true>x</div>ok", "ok"), ("<p>broken <a href='x", "broken"), ("<p>1 < 2 <3</p>", "1 < 2 <3"),
     ("<title>t</title><p>x</p><textarea><p>no</p></textarea>", "x"), ("<script>never closed <p>x", ""),
-    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<p>ok<", "ok<"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ("<p>before</p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>", "before\ndeep\nafter"),
+    ("<div><article><p>a</p>" + "<div>" * 400 + "</div>" * 400 + "<p>b</p></article></div>", "a\nb"),
+    ("a" + "<b>" * 20000 + "x" + "</b>" * 20000 + "</i>" * 20000 + "y", "axy"), ("<p>" + "long text " * 200_000 + "</p>", ("long text " * 200_000).strip()),
+    ("<div class='layout has-sidebar'><nav>n</nav><div><p>kept</p></div></div>", "kept"), ("<div class='sidebar'><h1>T</h1><p>kept</p></div>", "T\nkept"),
+    ("<article><div class='entry-header'><h1>T</h1></div><p>x</p></article>", "T\nx"), ("<article><div class='header'>T</div><p>x</p></article>", "T\nx"),
+    ("<article><p>a</p><section class='social-history'><p>b</p></section><section id='related-work'>c</section></article>", "a\nb\nc"),
+    ("<article><p>a</p><div class='related-posts'>r</div><div class='site-footer big'>f</div><div class='col ad'>d</div></article>", "a"),
+    ("<div class='ad'>only</div>", ""), ("<p>ok<", "ok<"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
 ])
 def test_markup(html, text):
     assert text_of(html)[0] == text
@@ -42,6 +50,17 @@ def test_pages_give_the_documents_they_show(spark):
     assert all(r["text"].split("\n", 1)[1] in docs and r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_titles_are_the_headings_of_the_pages(spark):
+    """Every page of the test tables shows its title in a first heading, and that is the first line."""
+    import re
+    from html import unescape
+
+    heads = {r["page_id"]: re.search("<h1>(.*?)</h1>", r["html"], re.S) for r in table(spark, SF_DIR, "pages").collect()}
+    rows = {r["page_id"]: r["text"] for r in html_text.op6(spark, SF_DIR).collect()}
+    told = {k: " ".join(unescape(re.sub("<[^>]*>", "", m.group(1))).split()) for k, m in heads.items() if m}
+    assert len(told) > 200 and all(rows[k].split("\n", 1)[0] == title for k, title in told.items())
+
+
 def site(k, template=True, host="a.example.com"):
     extra = "<div><p>Buy our things today, only on this page.</p></div>" if template else ""
     return f"http://{host}/{k}", f"<html><body>{extra}<div><p>Own text number {k}.</p><p>Said by all.</p></div></body></html>"
