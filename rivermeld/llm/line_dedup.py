@@ -8,7 +8,7 @@ an exact distinct count. A line on enough sites is boilerplate; repeated lines t
 identifier and go from all others.
 
 Defined cases: a null or empty text has no lines and stays as it is; a null site is a site of its own; a null identifier comes after all others;
-identical rows (identifier, site and text) are one document; lines equal but for white space at the ends are equal; an empty table gives an empty
+identical rows (identifier, site and text) are one document; a very long text is taken line by line, in time that grows with its lines; lines equal but for white space at the ends are equal; an empty table gives an empty
 result; extra columns are carried along untouched.
 """
 
@@ -51,9 +51,11 @@ def line_rows(docs: DataFrame, site: str = "source") -> DataFrame:
     """f1, f2 (the document), k (place among its lines with words), h1, h2 (the line), site_, id_, words: narrow rows."""
     f1, f2 = _identity(docs, site)
     kept = F.filter(F.transform(_lines(F.col("text")), _bare), lambda x: x != "")
-    opened = docs.select(
+    # Hashes of the whole text are made before lines are opened, once a document and not once a line.
+    whole_ = docs.select(
         f1.alias("f1"), f2.alias("f2"), F.xxhash64(F.col(site).cast("string")).alias("site_"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id_"), F.posexplode(kept).alias("k", "line_"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id_"), kept.alias("kept_"))
+    opened = whole_.select("f1", "f2", "site_", "id_", F.posexplode("kept_").alias("k", "line_"))
     return opened.select(
         "f1", "f2", "k", F.xxhash64(F.lit(1), "line_").alias("h1"), F.xxhash64(F.lit(2), "line_").alias("h2"), "site_", "id_",
         (F.length("line_") - F.length(F.replace(spaced(F.col("line_")), F.lit(" "), F.lit(""))) + 1).cast("int").alias("words"))
@@ -105,22 +107,18 @@ def without_repeats(docs: DataFrame, site: str = "source", spread: Spread = Spre
     f1, f2 = _identity(docs, site)
     gone = removals(docs, site, spread).withColumnsRenamed({"f1": a, "f2": b, "gone": name})
     joined = docs.withColumns({a: f1, b: f2}).join(gone, [a, b], "left").drop(a, b)
-    lines = _lines(F.col("text"))
-    number, kept = free_name(docs, "numbered"), free_name(docs, "kept")
-    # Lines with words carry their place; others none. Only documents that lose a line are opened.
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-    left = F.aggregate(
-        lines, start,
-        lambda acc, x: F.struct(
-            (acc["k"] + F.when(_bare(x) != "", 1).otherwise(0)).alias("k"),
-            F.when((_bare(x) != "") & F.array_contains(F.col(name), acc["k"]), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(x))).alias("out")),
-        lambda acc: F.array_join(acc["out"], "\n"))
-    result = joined.withColumn(kept, F.when(F.col(name).isNull(), F.col("text")).otherwise(left)).withColumn(
-        number, F.size(F.filter(lines, lambda x: _bare(x) != "")).cast("long"))
-    return result.withColumn(name, F.struct(
-        F.col(number).alias("n_lines"), F.coalesce(F.size(name), F.lit(0)).cast("long").alias("n_removed"),
-        F.col(kept).alias("rest"))).drop(number, kept), name
+    lines, places = free_name(docs, "lines_"), free_name(docs, "places_")
+    # Lines are split once and places of those with words listed once; what goes is taken out of all places by one set
+    # difference, so the work grows with the lines of a text and not with their square.
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    joined = joined.withColumn(lines, _lines(F.col("text")))
+    joined = joined.withColumn(places, F.filter(every, lambda i: _bare(F.get(F.col(lines), i)) != ""))
+    left = F.array_except(every, F.transform(F.col(name), lambda k: F.get(F.col(places), k)))
+    rest = F.when(F.col(name).isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
+    return joined.withColumn(name, F.struct(
+        F.size(places).cast("long").alias("n_lines"), F.coalesce(F.size(name), F.lit(0)).cast("long").alias("n_removed"),
+        rest.alias("rest"))).drop(lines, places), name
 
 
 def clean(docs: DataFrame, site: str = "source", spread: Spread = Spread()) -> DataFrame:
