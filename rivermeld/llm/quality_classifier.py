@@ -158,16 +158,27 @@ def _prior(groups: DataFrame, n: str, mean: str, towards: Column) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, posterior share of good documents; the share of the corpus)."""
+    """(host, path, p_site: posterior share of good documents, and the sums behind it; the share of the corpus).
+
+    n, s and hn, hs count and sum the evidence of the path and of its host; k and hk are the rows that their priors stand for.
+    """
     paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
     whole_ = paths.agg(F.sum("s"), F.sum("n")).first()
     share = (whole_[0] or 0.0) / whole_[1] if whole_[1] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")).withColumn("mean", F.col("hs") / F.col("hn"))
-    k = _prior(hosts, "hn", "mean", F.lit(share))
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + k * share) / (F.col("hn") + k)).select(F.col("host").alias("h"), "host_posterior")
+    hk = _prior(hosts, "hn", "mean", F.lit(share))
+    hosts = hosts.withColumn("host_posterior", (F.col("hs") + hk * share) / (F.col("hn") + hk)).select(F.col("host").alias("h"), "hn", "hs", "host_posterior")
     joined = written(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("mean", F.col("s") / F.col("n")), "site-shares")
     k = _prior(joined, "n", "mean", F.col("host_posterior"))
-    return joined.select("host", "path", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("p_site")), share
+    posterior = (F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)
+    return joined.select("host", "path", posterior.alias("p_site"), "n", "s", "hn", "hs", F.lit(k).alias("k"), F.lit(hk).alias("hk")), share
+
+
+def _of_the_others(share: float) -> Column:
+    """The posterior of a document's site from all documents but itself, whose evidence `p` is judged apart."""
+    p = F.col("p")
+    host = (F.col("hs") - p + F.col("hk") * share) / (F.col("hn") - 1 + F.col("hk"))
+    return (F.col("s") - p + F.col("k") * host) / (F.col("n") - 1 + F.col("k"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fitting: Fitting = Fitting(),
@@ -176,7 +187,9 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     sample = labelled_sample(labels, fitting)
     words = lexicon(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample, fitting)
     rows = featured(docs, words, host, path)
-    known = rows.join(F.broadcast(sample), "doc_id").select("x", "quality", "toxic").limit(2 * fitting.labels).collect()
+    # One row per labelled identifier, so the bound on labels holds; of rows that share an identifier the least statistics.
+    known = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+        F.min("x").alias("x"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     quality = fit([r["x"] for r in known], [r["quality"] for r in known], fitting.ridge)
     toxic = fit([r["x"] for r in known], [r["toxic"] for r in known], fitting.ridge)
 
@@ -190,6 +203,7 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     sites = F.broadcast(sites) if sites.count() <= broadcast_rows else sites
     sites = sites.withColumnsRenamed({"host": "h", "path": "q"})
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    joined = joined.withColumn("p_site", _of_the_others(share))
 
     def log_odds(p: Column) -> Column:
         p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))

@@ -70,3 +70,50 @@ def test_regression_finds_the_maximum():
     z = (x - x.mean(0)) / x.std(0)
     p = 1 / (1 + np.exp(-(x @ model.weights + model.intercept)))
     assert np.allclose(z.T @ (p - y) + np.array(model.weights) * x.std(0), 0, atol=1e-5)
+
+
+def test_whole_result_against_plain_python(spark):
+    """p_site and p_good of every document from the evidence of all others of its host and path, urls as paths included."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["plain words of a fine text, as they come. " * 6, "BUY NOW!!! $$$ click here " * 9, "short", None]
+    rows = [(k % 70, rng.choice(texts), f"h{k % 3}", rng.choice(["/a/b?x=1", "/c", None])) for k in range(90)] + [(500, texts[0], "alone", "/only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 11 == 0)) for k in range(70)], "doc_id long, quality int, toxic int")
+    got = qc.classified(docs, labels).collect()
+    assert len(got) == len(rows)
+    scored = docs.join(spark.createDataFrame([(r.doc_id, r.p_document) for r in got], "doc_id long, p double").groupBy("doc_id").agg(F.collect_list("p").alias("ps")), "doc_id")
+    ps = {}
+    for r in got:
+        ps.setdefault(r.doc_id, []).append(r)
+    single = [r for r in scored.collect() if len(r.ps) == 1]
+    sums, share = qc.site_posteriors(spark.createDataFrame(
+        [(s, q, p) for (s, q, p) in evidence(spark, docs, labels)], "host string, path string, p double"))
+    known = {(r.host, r.path): r for r in sums.collect()}
+    for r in single:
+        out, site, p = ps[r.doc_id][0], known[(r.source, r.lang)], r.ps[0]
+        host = (site.hs - p + site.hk * share) / (site.hn - 1 + site.hk)
+        p_site = (site.s - p + site.k * host) / (site.n - 1 + site.k)
+        odds = [math.log(v / (1 - v)) for v in (min(1 - 1e-9, max(1e-9, v)) for v in (p, p_site, share))]
+        assert out.p_site == pytest.approx(p_site) and out.p_good == pytest.approx(1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2]))))
+    lone = ps[500][0]
+    assert lone.p_site == pytest.approx(share), "a document alone on its host says nothing about it"
+
+
+def evidence(spark, docs, labels):
+    """(host, path, p) of every row, by the model alone."""
+    sample = qc.labelled_sample(labels, qc.Fitting())
+    words = qc.lexicon(docs.select("doc_id", "text"), sample, qc.Fitting())
+    rows = qc.featured(docs, words, "source", "lang").collect()
+    first = {}
+    for r in rows:
+        first[r.doc_id] = min(first.get(r.doc_id, r.x), r.x)
+    known = [(first[r.doc_id], r.quality, r.toxic) for r in sorted(sample.collect(), key=lambda r: r.doc_id)]
+    quality, toxic = (qc.fit([k[0] for k in known], [k[i] for k in known], qc.Fitting().ridge) for i in (1, 2))
+
+    def chance(model, x):
+        odds = min(30.0, max(-30.0, model.intercept + sum(w * v for w, v in zip(model.weights, x))))
+        return 1 / (1 + math.exp(-odds))
+
+    return [(r.host, r.path, chance(quality, r.x) * (1 - chance(toxic, r.x))) for r in rows]
