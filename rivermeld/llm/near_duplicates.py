@@ -2,8 +2,8 @@
 
 Two small collections of half keys are computed per document (each of a few minhashes); a table key is a pair of one half
 key from each collection, so m + m half keys stand for m * m tables. Two documents are candidates if they share a half key
-of either collection, which at the threshold fails to happen for about one link in 300,000. Only half keys that
-several documents have are combined.
+of each collection and enough half keys in all, which at the threshold fails to happen for about one link in 200,000. Only
+half keys that several documents have are combined.
 
 Documents with equal shingle sets are one node from the start. Candidates are verified on their full shingle
 sets, in rounds that never list all pairs of a bucket: first every node against the representatives of its
@@ -284,11 +284,8 @@ def _across(pairs: DataFrame, labels: DataFrame, a: str = "a", b: str = "b") ->
         F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, f1, f2, n_shingles, component_id, kept.
-
-    f1 and f2 identify the row by its content; of rows with the identifier of their component all are kept.
-    """
+def grouped(docs: DataFrame, banding: Banding = Banding(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, f1, f2 (of its content), n, root (its component, null without shingles), component_id."""
     signed = written(signatures(docs, banding), "signatures")
     low = F.coalesce("doc_id", F.lit(LAST))
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min(low).alias("low"), F.first(F.struct("n", "f1", "f2", "halves")).alias("one"))
@@ -296,18 +293,29 @@ def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_row
     labels = linked_nodes(docs, nodes, banding, broadcast_rows)
     rooted = nodes.join(labels, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = written(rooted.join(lowest, "root").select("s1", "s2", "component_id"), "classes")
+    classes = written(rooted.join(lowest, "root").select("s1", "s2", "root", "component_id"), "classes")
     out = signed.join(classes, ["s1", "s2"], "left")
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    component = F.when(component != LAST, component)
-    return out.select("doc_id", "f1", "f2", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "f1", "f2", "n", "root", F.when(component != LAST, component).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, banding: Banding = Banding(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, f1, f2, n_shingles, component_id, kept.
+
+    f1 and f2 identify the row by its content; of rows with the identifier of their component all are kept.
+    """
+    return grouped(docs, banding, broadcast_rows).select(
+        "doc_id", "f1", "f2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def clean(docs: DataFrame, banding: Banding = Banding()) -> DataFrame:
-    """One document of every group: the rows of `docs` that are kept; the columns stay. Of rows equal in identifier and text one stays."""
+    """One document of every group, with the columns of `docs`: the one with the smallest identifier, and of those that share it or have
+    none the first by the hash of its content. Documents without words stay; of rows equal in identifier and text one stays."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keep = near_duplicates(narrow, banding).where("kept").select("f1", "f2").distinct()
+    found = written(grouped(narrow, banding).select("doc_id", "f1", "f2", "root"), "groups")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "f1", "f2")).alias("first")).select("first.f1", "first.f2")
+    keep = first.unionByName(found.where("root IS NULL").select("f1", "f2")).distinct()
     names = docs.columns
     parts = [F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text")) for seed in (1, 2)]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), parts[0].alias("f1"), parts[1].alias("f2"))

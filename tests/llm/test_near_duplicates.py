@@ -95,3 +95,14 @@ def test_missing_a_link_is_unlikely(percent):
     b = nd.Banding()
     half = (percent / 100) ** b.width
     assert 1 - (1 - (1 - half) ** b.halves) ** 2 < 1e-5
+
+
+def test_clean_keeps_one_of_near_copies_with_null_or_tied_identifiers(spark):
+    base = " ".join(f"word{k}" for k in range(300))
+    other = " ".join(f"term{k}" for k in range(300))
+    rows = [(None, base + " a"), (None, base + " b"), (7, other + " a"), (7, other + " b"), (None, ""), (3, None), (9, "own words of nobody else at all here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "")[:5]) for r in nd.clean(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "word0"), (7, "term0"), (None, ""), (3, ""), (9, "own w")], key=str)
+    mixed = spark.createDataFrame([(None, base + " a"), (5, base + " b"), (5, base + " c"), (6, base)], "doc_id long, text string")
+    assert [r.doc_id for r in nd.clean(mixed).collect()] == [5]
