@@ -7,8 +7,9 @@ triple; values holding a large share of all rows (at most `HOT_PARTS` of them, b
 broadcast and the rest by a join, so that no value makes a hot join key.
 
 Defined cases: a null text is empty and has no spans; null owner or repository counts as one owner or repository of its
-own; repeated rows of one (owner, repository) count once in the frequencies and each gets its own result; an empty
-table gives an empty result; other columns are not read, so their names cannot clash.
+own; repeated rows of one (owner, repository) count once in the frequencies and each gets its own result; a very long
+text is searched whole, in time that grows with its length and as n log n with its n matches; an empty table gives an
+empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.llm.shared import query, table, whole
+from rivermeld.llm.shared import bound, query, running_sums, table, whole
 from rivermeld.session import written
 
 
@@ -63,15 +64,13 @@ def spans_of(text: Column, kind: Kind) -> Column:
         F.zip_with(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(hits)), hits,
                    lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"))),
         values, lambda at, value: F.struct(at["gap"].alias("gap"), at["hit"].alias("hit"), value.alias("value")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(shape).alias("out"))
-    found = F.aggregate(
-        pieces, empty,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["hit"]).alias("stop"),
-                F.lit(kind.name).alias("kind"), x["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"])
+
+    def placed(items: Column) -> Column:
+        ends = running_sums(F.transform(items, lambda x: x["gap"] + x["hit"]))
+        return F.zip_with(items, ends, lambda x, end: F.struct(
+            (end - x["hit"]).alias("start"), end.alias("stop"), F.lit(kind.name).alias("kind"), x["value"].alias("value")))
+
+    found = bound(pieces, placed)
     kept = F.filter(found, lambda x: F.length(x["value"]) >= kind.least) if kind.least else found
     return F.when(text.rlike(kind.pattern), kept).otherwise(F.array().cast(shape))
 

@@ -82,3 +82,23 @@ def running_starts(counts: DataFrame, order: str, count: str, start: str, block:
         .withColumn(start, (F.col("base_") + F.col("inside_")).cast("long"))
         .drop("block_", "inside_", "base_")
     )
+
+
+def running_sums(values: Column) -> Column:
+    """Per element the sum up to and including it, for an array without nulls.
+
+    Each step adds the array moved by 1, 2, 4, ... places, so the work grows as n log n and nothing is appended to a growing array.
+    """
+    def step(sums: Column, k: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int")), sums)
+        return F.zip_with(sums, F.slice(moved, F.lit(1), F.size(sums)), lambda x, y: x + y)
+
+    def summed(v: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(v))) - 1), v, step)
+
+    return bound(F.transform(values, lambda x: x.cast("long")), summed)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once a row however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

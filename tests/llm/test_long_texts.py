@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from rivermeld.llm.line_dedup import without_repeats
+from rivermeld.llm.secret_scan import scan
 
 
 def seconds(spark, n):
@@ -28,3 +29,22 @@ def test_line_dedup_of_80000_lines(spark):
     assert long < 4.5 * max(short, 1.0)
     assert got[1].n == 80_000 and got[0].gone == 0
     assert got[1].rest.split("\n")[0] == "own 1 0"
+
+
+def secrets(spark, n):
+    """One text of n assignments between words outside ASCII."""
+    docs = spark.createDataFrame([(1, "é token=abcdef12 " * n, "s", "en")], "doc_id long, text string, source string, lang string").cache()
+    docs.count()
+    start = time.perf_counter()
+    spans = scan(docs).first()["assign"]
+    took = time.perf_counter() - start
+    docs.unpersist()
+    return took, spans
+
+
+def test_secret_scan_of_40000_hits(spark):
+    secrets(spark, 1_000)
+    short, _ = secrets(spark, 10_000)
+    long, spans = secrets(spark, 40_000)
+    assert long < 4.5 * max(short, 1.0)
+    assert [(x["start"], x["stop"]) for x in spans] == [(17 * k + 2, 17 * k + 16) for k in range(40_000)]
