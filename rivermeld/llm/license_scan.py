@@ -4,8 +4,9 @@ All in column expressions in the row of a document; the tables of sentences and
 ordered list of sentence identifiers; it holds where they follow one another among the known sentences of the text, with
 at most `gap` other known sentences between two of them.
 
-Defined cases: a null or empty text has no sentences and no licence; repeated rows get a result each; an empty table gives
-an empty result; columns other than identifier and text are not read.
+Defined cases: a null or empty text has no sentences and no licence; repeated rows get a result each; a very long text is
+read whole, in time that grows as n log n with its n sentences; an empty table gives an empty result; columns other than
+identifier and text are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermeld.llm.shared import query, table, whole
+from rivermeld.llm.shared import bound, query, running_sums, table, whole
 
 # Normalised sentences of published licences and notices.
 SENTENCES = {
@@ -189,6 +190,11 @@ def normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def letters(plain: Column) -> Column:
+    """How many letters and digits a normalised sentence has."""
+    return F.length(F.replace(plain, F.lit(" "))).cast("long")
+
+
 BUCKETS = 256  # a map is searched key by key, so sentences are dealt over many
 
 
@@ -207,18 +213,29 @@ def known_sentences() -> Callable[[Column], Column]:
 
 
 def recognised(docs: DataFrame, text: str = "text", gap: int = 2) -> DataFrame:
-    """doc_id, n_sentences (known ones), sentence_ids (in order) and licenses (names in ascending order)."""
+    """doc_id, n_sentences (known ones), sentence_ids (in order) and licenses (names in ascending order).
+
+    A text is read by lines and as wrapped text; the known sentences of both readings count, each once, in the order of
+    their places.
+    """
     known = known_sentences()
 
     def found(ends: str) -> Column:
-        parts = F.filter(F.split(whole(text), ends, -1), lambda x: x.rlike(HINT))
-        return F.filter(F.transform(F.transform(parts, normal), known), lambda x: x.isNotNull())
+        def placed(parts: Column) -> Column:
+            plain = F.transform(parts, normal)
+            stops = running_sums(F.transform(plain, letters))
+            named = F.zip_with(parts, plain, lambda x, y: F.struct(F.when(x.rlike(HINT), known(y)).alias("id"), letters(y).alias("n")))
+            return F.filter(F.zip_with(named, stops, lambda x, stop: F.struct(
+                (stop - x["n"]).alias("start"), stop.alias("stop"), x["id"].alias("id"))), lambda x: x["id"].isNotNull())
 
-    none = F.array().cast("array<string>")
+        return bound(F.split(whole(text), ends, -1), placed)
+
+    # Both readings leave the same letters and digits out of no sentence, so their count is one scale of places.
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    both = docs.select("doc_id", *[F.when(hinted, found(e)).otherwise(none).alias(n) for n, e in zip(("lines", "wrapped"), ENDS)])
-    # The reading that knows more sentences counts; of equals the one by lines.
-    ids = both.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("ids"))
+    both = F.sort_array(F.concat(*[found(e) for e in ENDS]))
+    once = bound(both, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x)))
+    none = F.array().cast("array<string>")
+    ids = docs.select("doc_id", F.when(hinted, F.transform(once, lambda x: x["id"])).otherwise(none).alias("ids"))
     chained = ids.select("doc_id", "ids", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("chain"))
     single = constant_map({r[0]: name for name, r in RULES if len(r) == 1})  # such a rule holds where its sentence is
     ordered = F.array(*[F.when(F.col("chain").rlike(rule_pattern(r, gap)), F.lit(name)) for name, r in RULES if len(r) > 1])
@@ -239,10 +256,12 @@ d AS (
     SELECT r, way, i, trim(regexp_replace(lower(ls[i]), '[^a-z0-9]+', ' ', 'g')) AS s
     FROM (SELECT r, way, ls, unnest(range(1, len(ls) + 1)) AS i
           FROM (SELECT r, 0 AS way, string_split(t, chr(10)) AS ls FROM d UNION ALL SELECT r, 1, string_split(u, chr(1)) FROM d))
-), ways AS (
-    SELECT r, way, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM s JOIN known USING (s) GROUP BY r, way
+), placed AS (
+    SELECT r, s, sum(length(replace(s, ' ', ''))) OVER (PARTITION BY r, way ORDER BY i) AS stop FROM s
+), once AS (
+    SELECT DISTINCT r, stop - length(replace(s, ' ', '')) AS start, stop, id FROM placed JOIN known USING (s)
 ), c AS (
-    SELECT r, n, ids FROM ways QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, way) = 1
+    SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY start, stop, id) AS ids FROM once GROUP BY r
 ), m AS (
     SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM c, rules
     WHERE regexp_matches(',' || ids || ',', p) GROUP BY r

@@ -30,6 +30,7 @@ def test_names_and_headers(spark, docs):
         ("This is free and unencumbered software released into the\npublic domain.", "Unlicense"), ("All rights\nreserved.", "proprietary"),
         (GNU % "Affero General", "AGPL-3.0"), (GNU % "Lesser General", "LGPL-3.0"), (GNU % "General", "GPL-3.0"),
         ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "MPL-2.0"), ("The tax licence is under review.", ""),
+        ("Licensed under the Apache License, Version 2.0\nint x;\n\n" + GNU % "General" + "\nLicensed under CC BY 4.0\n", "Apache-2.0,CC-BY-4.0,GPL-3.0"),
     ]
     got = {r["doc_id"]: r["licenses"] for r in recognised(docs([(k, t) for k, (t, _) in enumerate(cases)])).collect()}
     assert [got[k] for k in range(len(cases))] == [x for _, x in cases]

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from rivermeld.llm.license_scan import recognised
 from rivermeld.llm.line_dedup import without_repeats
 from rivermeld.llm.secret_scan import scan
 
@@ -48,3 +49,19 @@ def test_secret_scan_of_40000_hits(spark):
     long, spans = secrets(spark, 40_000)
     assert long < 4.5 * max(short, 1.0)
     assert [(x["start"], x["stop"]) for x in spans] == [(17 * k + 2, 17 * k + 16) for k in range(40_000)]
+
+
+def test_licences_of_20000_notices(spark):
+    def notices(n):
+        docs = spark.createDataFrame([(1, "Some words here.\nLicensed under the MIT license.\n" * n)], "doc_id long, text string").cache()
+        docs.count()
+        start = time.perf_counter()
+        row = recognised(docs).first()
+        docs.unpersist()
+        return time.perf_counter() - start, row
+
+    notices(500)
+    short, _ = notices(5_000)
+    long, row = notices(20_000)
+    assert long < 4.5 * max(short, 1.0)
+    assert (row["n_sentences"], row["licenses"]) == (20_000, "MIT")
