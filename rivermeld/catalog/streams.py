@@ -15,7 +15,7 @@ from rivermeld.session import new_folder, written
 from rivermeld.settings import FEATURES
 from rivermeld.sources.driver_views import VIEWS
 from rivermeld.sources.store import Warehouse
-from rivermeld.streaming import discharges
+from rivermeld.streaming import discharges, features
 from rivermeld.streaming import live as streams
 
 def stream_of(t: Inputs, name: str) -> DataFrame:
@@ -215,6 +215,23 @@ def incremental_build(t: Inputs) -> DataFrame:
     return store.read("feat_matrix").select("fww_id", "wb_id", "wfd_status", "match_q")
 
 
+@query("t6_streaming_build_equals_full", ctes(["readings", "waterbodies"], RIVERS, MATCHED) + """
+SELECT fww_id, wb_id, wfd_status, match_q FROM matched
+WHERE match_q <> 'poor' AND nitrate_mid IS NOT NULL AND phosphate_mid IS NOT NULL""")
+def streaming_build(t: Inputs) -> DataFrame:
+    """Readings land in two parts; the stream builds the first, stops, and starts again for the second."""
+    store = Warehouse(t.spark, new_folder(t.spark, "warehouse"))
+    rows = written(t.readings.withColumns({
+        "received_at": F.col("received_at").cast("timestamp"), "sample_date": F.col("sample_date").cast("timestamp")}), "readings")
+    store.replace("staging_wfd", matrix.classified_rivers(t.waterbodies), "1998-01-01 00:00:00")
+    checkpoint = new_folder(t.spark, "checkpoint")
+    early = F.coalesce(F.col("received_at") <= F.lit("1998-06-01 00:00:00").cast("timestamp"), F.lit(False))
+    for part in (early, ~early):
+        store.append("staging_fww", rows.where(part))
+        features.build_features(features.stored_stream(store), store, checkpoint).awaitTermination()
+    return store.read("feat_matrix").select("fww_id", "wb_id", "wfd_status", "match_q")
+
+
 @query("t10_open_and_ended_discharges", ctes(["edm_live"]) + """,
 mark AS (SELECT epoch_ms(MAX(received_at)) - 3600000 AS w FROM edm_live),
 polls AS (SELECT company, outlet_ngr, received_at AS t, BOOL_OR(LOWER(status) = 'discharging') AS discharging

@@ -151,27 +151,45 @@ class Warehouse:
         number = self._version(versions[-1]) + 1 if versions else 0
         self._write(name, df, f"{self.root}/{name}/version={number:08d}")
 
-    def extend(self, name: str, df: DataFrame, as_of: str) -> int:
+    def extend(self, name: str, df: DataFrame, as_of: str, batch: str | None = None) -> int:
         """Add rows to a replaced table and return their number.
 
         Only the new rows are written, as a part of the current version; after `COMPACT` parts the version and its
-        parts become a new version.
+        parts become a new version. A part of a named batch carries that name, and so does a version it went into,
+        until the next batch; `holds` finds it.
         """
         stamp = next((c for c in ("loaded_at", "recorded_at") if c in TABLES[name].schema.names), None)
         if stamp:
             df = df.withColumn(stamp, at_time(as_of))
         path = f"{self.root}/{name}"
-        current = self.finished(path, "version=") and self._current(path)
-        if not current:
-            folder = f"{path}/version={0:08d}"
+        folders = self.finished(path, "version=")
+        current = self._current(path) if folders else []
+        number = self._version(current[-1]) if current else 0
+        if batch:
+            folder = f"{path}/version={number:08d}.{batch}"
         else:
-            folder = f"{path}/version={self._version(current[-1]):08d}.{len(current):06d}"
+            folder = f"{path}/version={number:08d}.{len(current):06d}" if current else f"{path}/version={0:08d}"
         self._write(name, df, folder)
         added = self.spark.read.schema(TABLES[name].schema).parquet(folder).count()
         if len(current) >= COMPACT:
-            self._write(name, self.read(name), f"{path}/version={self._version(current[-1]) + 1:08d}")
+            owner = "" if not batch else f".joined-{batch}" if self.has_other_parts(name) else f".{batch}"
+            self._write(name, self.read(name), f"{path}/version={number + 1:08d}{owner}")
         return added
 
+    def _parts(self, name: str) -> list[str]:
+        """What follows the number in the folder names of the current version; empty for a version written whole."""
+        path = f"{self.root}/{name}"
+        folders = self._current(path) if self.finished(path, "version=") else []
+        return [f.partition(".")[2] for f in folders]
+
+    def holds(self, name: str, batch: str) -> bool:
+        """Whether the rows of the named batch are in the current version."""
+        return any(p in (batch, f"joined-{batch}") for p in self._parts(name))
+
+    def has_other_parts(self, name: str, prefix: str = "stream-") -> bool:
+        """Whether the current version has rows that no named batch of this prefix alone has written."""
+        return any(not p.startswith(prefix) for p in self._parts(name))
+
     def prune(self, name: str, keep: int = 2) -> int:
         """Remove all but the newest `keep` versions of a replaced table; returns how many folders went."""
         path = f"{self.root}/{name}"
