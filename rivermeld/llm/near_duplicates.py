@@ -7,7 +7,9 @@ half keys that several documents have are combined.
 
 Documents with equal shingle sets are one node from the start. Candidates are verified on their full shingle
 sets, in rounds that never list all pairs of a bucket: first every node against the representatives of its
-buckets, then, where a half key still joins several components, the nodes outside the largest of them against the rest. Linked nodes of one component need no further test, as only components are asked for.
+buckets, then, where a half key still joins several components, the nodes outside the largest of them against the rest, block by block where
+a bucket is large, so that no task holds a whole one. Linked nodes of one component need no further test, as only components are
+asked for.
 
 Tables between steps lie in the shared folder; nothing but counts and the end of each loop is seen by the driver.
 
@@ -33,6 +35,12 @@ LAST = 2**63 - 1
 #: Rows of two or three integers that a broadcast may have.
 BROADCAST_ROWS = 200_000
 
+#: Nodes of one bucket that meet in one task: larger buckets are cut into a square of blocks of about so many by so many.
+BLOCK = 512
+
+#: Copies of what is known of a bucket, so that the nodes of a frequent half key are spread over tasks.
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class Banding:
@@ -232,6 +240,31 @@ def _alike(x: Column, y: Column, banding: Banding) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) >= banding.agreeing
 
 
+def _mixed_buckets(first: DataFrame) -> DataFrame:
+    """The rows (node, root, half, ...) of buckets that hold several components, with `outside` (not of the largest one) and
+    `slices` (into how many parts the bucket is cut).
+
+    A half key may be frequent, so its rows are spread over `SALTS` tasks, each with a copy of the bucket's one row.
+    """
+    counts = first.groupBy("half", "root").agg(F.count(F.lit(1)).alias("times"))
+    buckets = counts.groupBy("half").agg(
+        F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("times").alias("members"))
+    several = buckets.where("roots > 1").select(
+        "half", F.col("top")["root"].alias("top"), F.ceil(F.col("members") / BLOCK).cast("int").alias("slices"),
+        F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("salt"))
+    salted = first.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(several, ["half", "salt"]).withColumn("outside", F.col("root") != F.col("top")).drop("top", "salt")
+
+
+def _slice() -> Column:
+    """The part of its bucket that a node is in."""
+    return F.pmod(F.xxhash64("half", "node"), F.col("slices")).cast("int")
+
+
+def _slices() -> Column:
+    return F.sequence(F.lit(0), F.col("slices") - 1)
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, banding: Banding, broadcast_rows: int) -> DataFrame:
     """node, root of the nodes that have candidates."""
     buckets = bucket_keys(nodes.select("node", "n", "halves"), banding)
@@ -257,20 +290,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, banding: Banding, broadcast_
     # collection that both have, if the second collection agrees somewhere too. Nodes outside the largest component
     # of a bucket meet the rest of it; nodes of one component never meet.
     first = wanted.join(_light(labels), "node").select("node", "n", "root", "halves", F.posexplode(F.slice("halves", 1, banding.halves)).alias("place", "half"))
-    counts = first.groupBy("half", "root").agg(F.count(F.lit(1)).alias("times"))
-    largest = counts.groupBy("half").agg(F.max(F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where(
-        "roots > 1").select("half", F.col("top")["root"].alias("top"))
-    mixed = written(first.join(largest, "half").withColumn("outside", F.col("root") != F.col("top")).drop("top"), "mixed")
+    mixed = written(_mixed_buckets(first), "mixed")
     mixed = mixed.join(_light(_shared(sets, mixed.select("node", "n").distinct(), banding)), ["node", "n"])
     mixed = written(mixed, "mixed")
-    others = mixed.select("half", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "halves", "outside", "shared")])
+    mine = mixed.where("outside").withColumns({"i": _slice(), "j": F.explode(_slices())})
+    others = mixed.withColumns({"j": _slice(), "i": F.explode(_slices())})
+    others = others.select("half", "i", "j", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root", "halves", "outside", "shared")])
     side = banding.halves
     earlier = F.arrays_overlap(F.array(F.lit(True)), F.zip_with(
         F.slice("halves", F.lit(1), F.col("place")), F.slice("o_halves", F.lit(1), F.col("place")), lambda p, q: p == q))
     second = F.arrays_overlap(F.slice("halves", side + 1, side), F.slice("o_halves", side + 1, side))
-    facing = mixed.where("outside").join(others, (
-        (mixed["half"] == others["half"]) & (F.col("root") != F.col("o_root")) & (~F.col("o_outside") | (F.col("node") < F.col("o_node")))
-        & _bounded("n", "o_n", "shared", "o_shared", banding) & ~earlier & second & _alike(F.col("halves"), F.col("o_halves"), banding)))
+    facing = mine.join(others, ["half", "i", "j"]).where(
+        (F.col("root") != F.col("o_root")) & (~F.col("o_outside") | (F.col("node") < F.col("o_node")))
+        & _bounded("n", "o_n", "shared", "o_shared", banding) & ~earlier & second & _alike(F.col("halves"), F.col("o_halves"), banding))
     last = facing.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
     last = written(last.join(stars, ["a", "b"], "left_anti"), "last-pairs")
     return _merged(labels, written(verified(last, sets, banding), "links"))

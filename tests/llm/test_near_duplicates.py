@@ -76,6 +76,42 @@ def test_groups_of_copies_near_the_threshold(spark, docs):
     compare(spark, docs(rows), rows)
 
 
+def passage_rows():
+    """160 texts of 40 small groups that all hold one passage of two thirds of their words: one bucket, many components."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(200)]
+    rows = []
+    for group in range(40):
+        own = [f"g{group}w{k}" for k in range(100)]
+        for _ in range(4):
+            rows.append((rng.randrange(10**6), " ".join(passage + changed(own, rng.choice([0.01, 0.02, 0.05]), rng))))
+    return list({r[0]: r for r in rows}.values())
+
+
+@pytest.mark.parametrize("block", [nd.BLOCK, 7])
+def test_one_bucket_of_many_small_groups(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rows = passage_rows()
+    assert len({component for _, component in brute(rows).values()}) > 20
+    compare(spark, docs(rows), rows)
+
+
+def test_frequent_half_keys_are_cut_into_blocks(spark, monkeypatch):
+    """Every pair of a bucket meets in exactly one block, and no block holds much more than its share."""
+    monkeypatch.setattr(nd, "BLOCK", 50)
+    first = spark.range(1000).selectExpr("id AS node", "id DIV 2 AS root", "7L AS half").unionByName(
+        spark.range(3).selectExpr("id AS node", "0L AS root", "8L AS half"))
+    mixed = nd._mixed_buckets(first)
+    assert {(r.half, r.slices) for r in mixed.collect()} == {(7, 20)}
+    assert mixed.where("NOT outside").count() == 2
+    mine = mixed.withColumns({"i": nd._slice(), "j": nd.F.explode(nd._slices())})
+    others = mixed.select(nd.F.col("node").alias("o_node"), "half", "slices").withColumn("j", nd.F.pmod(nd.F.xxhash64("half", "o_node"), "slices").cast("int"))
+    others = others.withColumn("i", nd.F.explode(nd._slices())).drop("slices")
+    assert max(r["count"] for r in mine.groupBy("i", "j").count().collect()) < 100
+    met = mine.join(others, ["half", "i", "j"]).groupBy("node", "o_node").count()
+    assert (met.count(), met.agg({"count": "max"}).first()[0]) == (1_000_000, 1)
+
+
 def test_odd_rows(spark, docs):
     assert nd.near_duplicates(docs([]).select("doc_id", "text")).count() == 0
     rows = [(5, None), (6, ""), (7, " \t"), (8, "One two"), (3, "one TWO"), (9, "one"), (None, "one"), (None, "alone here"),
