@@ -52,16 +52,16 @@ LEGACY_NAMES = {
 }
 PLACEHOLDER_NAMES = ["other", "n/a", "unknown", "unnamed", ""]
 FEATURE_LABELS = {
-    "nitrate_mid": "Nitrate in the water",
-    "phosphate_mid": "Phosphate in the water",
-    "spills_per_pipe": "Spills per sewage pipe",
-    "avg_spills": "Typical yearly sewage spills",
-    "n_overflows": "Sewage overflow pipes nearby",
+    "nitrate_mid": "Nitrate level",
+    "phosphate_mid": "Phosphate level",
+    "spills_per_pipe": "Spills per outlet",
+    "avg_spills": "Mean spills a year",
+    "n_overflows": "Overflows on this water",
 }
 STATUS_MEANING = {
-    "Good": "The water here supports healthy wildlife and plant life.",
-    "Moderate": "This water shows signs of pollution pressure. Wildlife is affected, but not severely.",
-    "Poor": "This water is significantly polluted. Wildlife and plant life are struggling here.",
+    "Good": "Plants and animals do well in this water.",
+    "Moderate": "Some pollution shows, and some species are fewer than they would be.",
+    "Poor": "Pollution is heavy, and few plants and animals cope with it.",
 }
 LAND_WORDS = {
     "woodland": "woodland",

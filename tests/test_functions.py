@@ -98,7 +98,7 @@ def test_land_words(spark):
     df = spark.createDataFrame([("lc_arable_5km", 12.0), ("lc_urban_1km", 0.49), ("lc_urban_1km", 0.5), ("nitrate_mid", 2.0), ("zz", 1.0)], "f STRING, v DOUBLE")
     assert [r[0] for r in one(df.select(wording.factor_text("f", "v")))] == [
         "9.4 km² of farmland within 5km", "No built-up area within 1km", "0.0 km² of built-up area within 1km",
-        "Nitrate in the water", "zz"]
+        "Nitrate level", "zz"]
     assert [r[0] for r in one(df.select(wording.factor_title("f")))][:2] == ["Farmland (5km)", "Built-Up Area (1km)"]
 
 
