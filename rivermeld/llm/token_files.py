@@ -33,6 +33,9 @@ INDEX = struct.Struct("<4sIQ")  # b"TIDX", version, documents
 #: Ids after which a frame ends with the document; a longer document fills frames of this many ids.
 FRAME_IDS = 65_536
 
+#: Files of the manifest, which has one short row a shard.
+MANIFEST_FILES = 8
+
 
 def _open(uri: str):
     from pyarrow import fs
@@ -176,7 +179,9 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = named.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    shards = written(ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_tokens long"), "manifest")
+    # One row a task, so its place among the files hangs on the number of the task alone, also when the task is run again.
+    rows = ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_tokens long")
+    shards = written(rows.repartition(MANIFEST_FILES), "manifest")
     return running_starts(shards, "shard", "n_tokens", "start")
 
 

@@ -8,12 +8,20 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import struct
 from collections.abc import Callable
+from operator import attrgetter
 
 #: Words held by a worker in each of two generations; older ones are looked up again or encoded anew.
 GENERATION = 300_000
 
 _cached: dict[str, Callable[[str], bytes]] = {}
+_id = attrgetter("id")
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> list[str]:
@@ -35,26 +43,23 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        import numpy as np
-
-        self.tokenizer, self.np, self.old = tokenizer, np, {}
+        self.tokenizer, self.old = tokenizer, {}
         self.model = tokenizer.model
         self.letters = _byte_letters()
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return self.np.array(ids, dtype="<u4").tobytes()
-
     def _encode(self, word: str) -> bytes:
         # A word of Latin letters up to U+00FF has one normal form, its lower case, and is one piece for the merges.
-        if word.isalpha() and max(word) <= "ÿ":
-            letters = self.letters
+        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
             lower = word.lower()
-            mapped = lower if lower.isascii() else "".join([letters[b] for b in lower.encode()])
-            return self._pack([x.id for x in self.model.tokenize(mapped)])
-        # Letters before one full stop or comma are pieces of their own; they share the entry of the bare word.
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha() and max(word) <= "ÿ":
-            return self[word[:-1].lower()] + self[word[-1]]
-        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if lower != word:
+                return self[lower]
+            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            return _pack([*map(_id, self.model.tokenize(mapped))])
+        # Letters before a run of ASCII marks are pieces of their own, and so is the run; both share the entries of the bare ones.
+        bare = word.rstrip(string.punctuation)
+        if bare != word and bare.isalpha() and max(bare) <= "ÿ":
+            return self[bare.lower()] + self[word[len(bare):]]
+        return _pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         value = self.old.pop(word, None)

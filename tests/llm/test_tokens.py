@@ -40,6 +40,31 @@ def test_generations_bound_the_words_held(monkeypatch):
     assert len(words) <= 4 and len(words.old) <= 4
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aBÉßªµ1.,'!?*#$%&<>|_ \n"), max_size=30))
+def test_letters_before_marks_give_the_ids_of_the_text(text):
+    assert tokens.encoder(tokens.default_path())(text) == packed(ids_of(text))
+
+
+def test_words_that_differ_in_case_and_marks_are_encoded_once():
+    class Counted:
+        model = property(lambda self: self)
+        calls = 0
+
+        def tokenize(self, word):
+            self.calls += 1
+            return LIBRARY.model.tokenize(word)
+
+        def encode(self, *a, **b):
+            self.calls += 1
+            return LIBRARY.encode(*a, **b)
+
+    words = tokens._Words(counted := Counted())
+    text = "word Word WORD word*** Word,### *** ,###"
+    assert b"".join(map(words.__getitem__, text.split())) == packed(ids_of(text))
+    assert counted.calls == 3
+
+
 def check_packing(rows, texts, end_id, capacity=packing.Capacity()):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -113,6 +138,21 @@ def test_token_files_of_odd_rows(spark, docs):
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == brute_files(rows)
 
 
+def test_manifest_of_many_shards_is_few_files(spark, docs):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = [(i, f"word {i}") for i in range(400)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = token_files.write_tokens(docs(rows), new_folder(spark, "token-files"))
+        assert manifest.count() > 30 and len(manifest.inputFiles()) <= 8
+        got = token_files.read_tokens(manifest).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == brute_files(rows)
+
+
 class Counting(io.BytesIO):
     read_bytes = 0
 
